@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, mixing, packing, simhash
+from . import chat, exact_dedup, language, mixing, packing, pii, simhash, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": urls.op1_query,
     "op3_language_id": language.op3_query,
     "op4_best_fit_packing": packing.op4_query,
+    "op5_pii": pii.op5_query,
+    "op6_chat_preferences": chat.op6_query,
     "op7_exact_dedup": exact_dedup.op7_query,
     "op8_simhash": simhash.op8_query,
+    "op9_nearest_neighbours": vectors.op9_query,
     "op10_mixing": mixing.op10_query,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_chat_preferences": chat.OP6_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
