@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, language, mixing, packing, pii, simhash, urls, vectors
+from . import chat, exact_dedup, language, mixing, packing, pii, simhash, suffix_dedup, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": urls.op1_query,
+    "op2_suffix_dedup": suffix_dedup.op2_query,
     "op3_language_id": language.op3_query,
     "op4_best_fit_packing": packing.op4_query,
     "op5_pii": pii.op5_query,
