@@ -15,9 +15,10 @@ from .shared import ranked, staged, text_or_empty, workers_can_import
 CAPACITY = 4096
 END = 1
 #: Words whose ids a Python worker remembers before it starts anew; bounds its memory.
-REMEMBER = 400_000
+REMEMBER = 800_000
 
 _loaded: dict[str, object] = {}
+_known: dict[str, dict[str, bytes]] = {}
 
 
 def _tokenizer(path: str):
@@ -34,43 +35,62 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _memory(path: str) -> dict[str, bytes]:
+    """Ids of words seen by this Python worker; outlives a task, as workers are reused."""
+    return _known.setdefault(path, {})
+
+
+def _encode(model, words: list[str]) -> Iterator[bytes]:
+    for at in range(0, len(words), 4096):
+        for e in model.encode_batch_fast(words[at : at + 4096], add_special_tokens=False):
+            yield np.array(e.ids, "<u4").tobytes()
+
+
+def token_ids(texts: list[str], path: str) -> Iterator[bytes]:
+    """Each text's ids, little-endian 32-bit, without the closing one.
+
+    The tokenizer's pre-tokenizer never joins across white space, so a word's ids don't
+    depend on its neighbours and are worked out once for each word that recurs.
+    """
+    model, known = _tokenizer(path), _memory(path)
+    split = [t.replace("\n", " ").split(" ") for t in texts]
+    if len(known) > REMEMBER:
+        known.clear()
+    new = [w for w in set().union(*split) if w not in known]
+    known.update(zip(new, _encode(model, new), strict=True))
+    for words in split:
+        yield b"".join(map(known.__getitem__, words))
+    for w in new:
+        if len(w) > 64:
+            del known[w]
+
+
 def _pieces(tokenizer: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        model = _tokenizer(tokenizer)
-        known: dict[str, bytes] = {}
-        end = np.array([END], "<u4").tobytes()
-        step = 4 * capacity
+        end, step = np.array([END], "<u4").tobytes(), 4 * capacity
         for batch in batches:
-            docs, pieces, starts, lengths, sums, ids = [], [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                # the pre-tokenizer never joins across white space, so a word's ids don't depend on its neighbours
-                words = text.replace("\n", " ").split(" ")
-                new = [w for w in set(words) if w not in known]
-                if new:
-                    if len(known) > REMEMBER:
-                        known.clear()
-                        new = list(set(words))
-                    for at in range(0, len(new), 4096):
-                        part = new[at : at + 4096]
-                        known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in model.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-                whole = b"".join(map(known.__getitem__, words)) + end
-                for piece, at in enumerate(range(0, len(whole), step)):
-                    part = whole[at : at + step]
-                    docs.append(doc)
-                    pieces.append(piece)
-                    starts.append(at // 4)
-                    lengths.append(len(part) // 4)
-                    sums.append(zlib.crc32(part))
-                    ids.append(part)
-            columns = [pa.array(docs, pa.int64()), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            if with_ids:
-                columns.append(pa.array(ids, pa.binary()))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                docs, pieces, starts, lengths, sums, ids = [], [], [], [], [], []
+                for doc, body in zip(part.column(0).to_pylist(), token_ids(part.column(1).to_pylist(), tokenizer), strict=True):
+                    whole = body + end
+                    for piece, at in enumerate(range(0, len(whole), step)):
+                        chunk = whole[at : at + step]
+                        docs.append(doc)
+                        pieces.append(piece)
+                        starts.append(at // 4)
+                        lengths.append(len(chunk) // 4)
+                        sums.append(zlib.crc32(chunk))
+                        ids.append(chunk)
+                columns = [pa.array(docs, pa.int64()), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                if with_ids:
+                    columns.append(pa.array(ids, pa.binary()))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
