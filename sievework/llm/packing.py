@@ -15,10 +15,11 @@ from .shared import ranked, staged, text_or_empty, workers_can_import
 CAPACITY = 4096
 END = 1
 #: Words whose ids a Python worker remembers before it starts anew; bounds its memory.
-REMEMBER = 800_000
+REMEMBER = 1_500_000
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 _loaded: dict[str, object] = {}
-_known: dict[str, dict[str, bytes]] = {}
+_known: dict[str, dict[bytes, bytes]] = {}
 
 
 def _tokenizer(path: str):
@@ -35,25 +36,26 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _memory(path: str) -> dict[str, bytes]:
+def _memory(path: str) -> dict[bytes, bytes]:
     """Ids of words seen by this Python worker; outlives a task, as workers are reused."""
     return _known.setdefault(path, {})
 
 
-def _encode(model, words: list[str]) -> Iterator[bytes]:
+def _encode(model, words: list[bytes]) -> Iterator[bytes]:
     for at in range(0, len(words), 4096):
-        for e in model.encode_batch_fast(words[at : at + 4096], add_special_tokens=False):
+        for e in model.encode_batch_fast([w.decode() for w in words[at : at + 4096]], add_special_tokens=False):
             yield np.array(e.ids, "<u4").tobytes()
 
 
-def token_ids(texts: list[str], path: str) -> Iterator[bytes]:
-    """Each text's ids, little-endian 32-bit, without the closing one.
+def token_ids(texts: list[bytes], path: str) -> Iterator[bytes]:
+    """Each UTF-8 text's ids, little-endian 32-bit, without the closing one.
 
-    The tokenizer's pre-tokenizer never joins across white space, so a word's ids don't
-    depend on its neighbours and are worked out once for each word that recurs.
+    The tokenizer lower-cases and never joins across white space, so a word's ids don't
+    depend on its neighbours or on the case of A-Z, and are worked out once for each word that
+    recurs. A text that could hold the name of a special token, which does depend on case, is left as it is.
     """
     model, known = _tokenizer(path), _memory(path)
-    split = [t.replace("\n", " ").split(" ") for t in texts]
+    split = [(t if b"<|" in t else t.translate(_LOWER)).replace(b"\n", b" ").split(b" ") for t in texts]
     if len(known) > REMEMBER:
         known.clear()
     new = [w for w in set().union(*split) if w not in known]
@@ -103,7 +105,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     """
     workers_can_import(docs.sparkSession)
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty("text").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.encode(text_or_empty("text"), "UTF-8").alias("text"))
     return rows.mapInArrow(_pieces(tokenizer or default_tokenizer(), capacity, with_ids), schema)
 
 
