@@ -209,8 +209,9 @@ def learnable(docs: DataFrame) -> DataFrame:
     return docs.where(~held_out())
 
 
-def held_out() -> F.Column:
-    return F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % 5 == 0
+def held_out(doc_id: str = "doc_id") -> F.Column:
+    """Is the crc32 of the id as text a multiple of 5? A null id counts as empty text."""
+    return F.crc32(F.encode(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "UTF-8")) % 5 == 0
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
