@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import lower_ascii, scratch_root, staged, text_or_empty
@@ -84,14 +84,13 @@ def drop_exact(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     Of rows repeated with the same id and text one stays. Dropped rows leave by an anti-join
     on (id, digest), keys that no hot group shares.
     """
-    gone = exact_dedup(docs, index).where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    # one struct as the key is never null: the join and the window after it deal rows alike, so text moves once
+    gone = exact_dedup(docs, index).where("NOT kept").select(F.struct("doc_id", "digest").alias("__gone")).distinct()
     gone = staged(gone, "dropped")
     sha = F.unhex(F.sha2(F.encode(lower_ascii(text_or_empty("text")), "UTF-8"), 256))
-    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].cast("bigint").alias("__id"), sha.alias("__digest"))
-    stay = whole.join(gone, whole["__id"].eqNullSafe(gone["__id"]) & (whole["__digest"] == gone["__digest"]), "left_anti")
-    from pyspark.sql import Window
-
-    first = F.row_number().over(Window.partitionBy("__id", "__digest").orderBy(F.xxhash64("row")))
+    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.struct(docs["doc_id"].cast("bigint").alias("doc_id"), sha.alias("digest")).alias("__key"))
+    stay = whole.join(gone, F.col("__key") == F.col("__gone"), "left_anti")
+    first = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64("row")))
     return stay.withColumn("__n", first).where("__n = 1").select("row.*")
 
 

@@ -103,19 +103,20 @@ def ranked(df: DataFrame, groups: list[str], cells: list[str], order: list[str],
     position is its rank within its cell plus the rows of the cells before it. Cells hold
     about ``cell_rows`` rows, so a group with a third of all rows is many tasks' work. The
     cell counts are one row a cell and are combined before the shuffle. ``df`` is read twice.
+
+    A cell's key is one struct: unlike several nullable columns it is never null, so that the
+    window and the join agree on how rows are dealt and ``df`` is shuffled once.
     """
     n_hash = max(1, -(-rows // cell_rows))
-    keyed = df.withColumn("__h", F.pmod(F.xxhash64(*spread), F.lit(n_hash)).cast("int"))
-    keys = [*groups, *cells, "__h"]
-    before = Window.partitionBy(*groups).orderBy(*cells, "__h").rowsBetween(Window.unboundedPreceding, -1)
-    counts = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = keyed.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    condition = F.lit(True)
-    for i, k in enumerate(keys):
-        condition = condition & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    joined = inside.join(offsets, condition, "inner")
-    return joined.withColumn("pos", F.col("__before") + F.col("__r")).drop("__h", "__r", "__before", *[f"__k{i}" for i in range(len(keys))])
+    keys = [*groups, *cells]
+    keyed = df.withColumn("__cell", F.struct(*keys, F.pmod(F.xxhash64(*spread), F.lit(n_hash)).cast("int").alias("__h")))
+    per = [F.col("__cell")[k] for k in groups]
+    before = Window.partitionBy(*per).orderBy(*[F.col("__cell")[k] for k in cells], F.col("__cell")["__h"]).rowsBetween(Window.unboundedPreceding, -1)
+    counts = keyed.groupBy("__cell").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = counts.select(F.col("__cell").alias("__key"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = keyed.withColumn("__r", F.row_number().over(Window.partitionBy("__cell").orderBy(*order)))
+    joined = inside.join(offsets, F.col("__cell") == F.col("__key"))
+    return joined.withColumn("pos", F.col("__before") + F.col("__r")).drop("__cell", "__key", "__r", "__before")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

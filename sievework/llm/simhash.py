@@ -189,11 +189,11 @@ def drop_near(docs: DataFrame, words: int = 3) -> DataFrame:
     The smallest doc_id of the group stays. Of rows repeated with that id and text one stays.
     """
     found = simhash_groups(docs, words)
-    gone = found.where(~(F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("salt") == F.col("lead.salt")))).select(F.col("doc_id").alias("__gone"), F.col("salt").alias("__gone_salt")).distinct()
-    gone = staged(gone, "gone")
-    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].cast("bigint").alias("__id"), F.xxhash64(text_or_empty(docs["text"])).alias("__salt"))
-    stay = whole.join(gone, F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__salt") == F.col("__gone_salt")), "left_anti")
-    first = F.row_number().over(Window.partitionBy("__id", "__salt").orderBy(F.xxhash64("row")))
+    mine = F.struct("doc_id", "salt")
+    gone = staged(found.where(mine != F.col("lead")).select(mine.alias("__gone")).distinct(), "gone")
+    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.struct(docs["doc_id"].cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty(docs["text"])).alias("salt")).alias("__key"))
+    stay = whole.join(gone, F.col("__key") == F.col("__gone"), "left_anti")
+    first = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64("row")))
     return stay.withColumn("__n", first).where("__n = 1").select("row.*")
 
 
