@@ -194,8 +194,18 @@ def test_bin_completion_is_near_the_bound(seed):
         for x, k in filling:
             used[x] = used.get(x, 0) + k * times
     assert used == histogram
-    bound = max(-(-sum(x * c for x, c in histogram.items()) // 100), sum(c for x, c in histogram.items() if 2 * x > 100))
-    assert sum(m for m, _ in bins) <= bound * 1.03 + 1
+    assert sum(m for m, _ in bins) <= least_bins(histogram, 100) + 2
+
+
+def least_bins(histogram, capacity):
+    """Martello and Toth's bound L2."""
+    items = [x for x, c in histogram.items() for _ in range(c)]
+    best = 0
+    for a in range(capacity // 2 + 1):
+        large, middle = [x for x in items if x > capacity - a], [x for x in items if capacity / 2 < x <= capacity - a]
+        small = sum(x for x in items if a <= x <= capacity / 2)
+        best = max(best, len(large) + len(middle) + max(0, -(-(small - (len(middle) * capacity - sum(middle))) // capacity)))
+    return best
 
 
 def test_completion_beats_best_fit():
