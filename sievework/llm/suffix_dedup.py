@@ -379,3 +379,20 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 def op2_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract of op2 over the whole ``documents`` table."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP2_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, s, substr(h, 2 * s + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 49)) AS s FROM d WHERE length(h) >= 100) x),
+m AS (SELECT g, min(doc_id) AS first FROM w GROUP BY g HAVING count(*) > 1),
+hit AS (SELECT doc_id, s FROM w JOIN m USING (g) WHERE doc_id > first),
+cut AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 0 ELSE 1 END AS new FROM hit),
+run AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM cut),
+span AS (SELECT doc_id, min(s) AS a, max(s) + 50 AS e FROM run GROUP BY doc_id, k),
+gap AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t FROM span
+  UNION ALL SELECT d.doc_id, coalesce(max(e), 0), any_value(length(h) // 2) FROM d LEFT JOIN span ON span.doc_id = d.doc_id GROUP BY d.doc_id),
+kept AS (SELECT gap.doc_id, string_agg(substr(h, 2 * f + 1, 2 * (t - f)), '' ORDER BY f) AS k FROM gap JOIN d ON d.doc_id = gap.doc_id GROUP BY gap.doc_id),
+gone AS (SELECT doc_id, sum(e - a) AS r, count(*) AS n FROM span GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN gone ON gone.doc_id = d.doc_id
+"""
