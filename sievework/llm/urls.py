@@ -68,7 +68,8 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     held = urls.where("url IS NOT NULL").select("url").distinct().select("url", tokens(host, path).alias("has"))
     posted = held.select("url", "has", F.explode("has").alias("item"))
     wanted = rules.select(F.explode("items").alias("item")).distinct()
-    often = posted.join(wanted, "item", "left_semi").groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    # counted before the join: a very common item is then a row a task, not all its rows in one task
+    often = posted.groupBy("item").agg(F.count(F.lit(1)).alias("n")).join(wanted, "item", "left_semi")
     listed = rules.select("rule_id", "items", "confidence", F.explode("items").alias("item")).join(often, "item", "left")
     index = listed.groupBy("rule_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "item")).alias("rarest"), F.first("items").alias("items"), F.first("confidence").alias("confidence")).select(F.col("rarest.item").alias("item"), "items", "confidence")
     hits = posted.join(index, "item").where(F.size(F.array_except("items", "has")) == 0)
