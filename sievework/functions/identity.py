@@ -31,12 +31,12 @@ def split_top(text: str, sep: str) -> list[str]:
 def compact(text: str) -> str:
     """No white space inside template arguments."""
     depth, out = 0, []
-    for part in re.split(r"([<>])", text):
+    for part in re.split(r"(\boperator\s*[-<>=!]+|[<>])", text):
         if part == "<":
             depth += 1
         elif part == ">":
             depth = max(0, depth - 1)
-        out.append(re.sub(r"\s+", "", part) if depth and part not in "<>" else part)
+        out.append(re.sub(r"\s+", "", part) if depth and part not in ("<", ">") else part)
     return "".join(out)
 
 

@@ -22,11 +22,20 @@ def read_functions(spark: SparkSession, root: str, binary_id: str) -> DataFrame:
 
 
 def lost_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files of a ``decomps`` folder that hold a function which can't be read: empty, or cut at ``[abi``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    name = F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B")))
-    folder = F.element_at(F.split("path", "/"), -2)
-    return files.where(~F.endswith("path", F.lit(".c")) & (folder == "decomps") & ~F.contains("path", F.lit("/ghidra_projects/")) & (F.contains(name, F.lit("[abi")) | (F.col("length") == 0)))
+    """``(path, length)`` of files of a ``decomps`` folder that hold a function which can't be read: empty, or cut at ``[abi``.
+
+    Spark's readers pass over empty files, so the folder is listed by the file system that its address names.
+    """
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(root)
+    found, rows = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True), []
+    while found.hasNext():
+        f = found.next()
+        path = f.getPath()
+        name, parts = path.getName(), path.toString().split("/")
+        if not name.endswith(".c") and parts[-2:-1] == ["decomps"] and "ghidra_projects" not in parts and ("[abi" in name or f.getLen() == 0):
+            rows.append((path.toString(), f.getLen()))
+    return spark.createDataFrame(rows, "path string, length bigint")
 
 
 def digests(files: DataFrame) -> DataFrame:

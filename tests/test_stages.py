@@ -1,8 +1,10 @@
 """Stages with a stub provider, state files, sources and the stream."""
 
 import json
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from sievework.operators import callgraph, experiments, stages
@@ -10,6 +12,8 @@ from sievework.session import staged
 from sievework.sources import functions_dir, programs, state
 from sievework.streaming import ingest
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers have no tests folder
+
 FUNCTIONS = "binary_id string, name string, code string"
 BODY = "int {0}(int param_1)\n{{\n  int iVar1;\n  iVar1 = {1}(param_1);\n  return iVar1;\n}}"
 
