@@ -353,7 +353,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     workers_can_import(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.encode(text_or_empty("text"), "UTF-8").alias("text"))
     least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * rows.rdd.getNumPartitions())
-    parts = 1 << (least - 1).bit_length()
+    # several parts for each task, so that tasks are even though parts are dealt by a hash
+    parts = 4 << (least - 1).bit_length()
     name = "chunks_" + uuid.uuid4().hex[:12]
     folder = f"{scratch_root(spark)}/{name}"
     binaries = ("ids", "offsets", "data", "starts", "lead", "count")
