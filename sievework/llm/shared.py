@@ -100,14 +100,15 @@ def ranked(df: DataFrame, groups: list[str], cells: list[str], order: list[str],
     """Add ``pos``, each row's position from 1 within its group, without a task that holds a whole group.
 
     A group is cut into cells by ``cells`` and by a hash of ``spread``; a row's
-    position is its rank within its cell plus the rows of the cells before it. Cells hold
-    about ``cell_rows`` rows, so a group with a third of all rows is many tasks' work. The
+    position is its rank within its cell plus the rows of the cells before it. There are as many
+    hashes as the session has shuffle partitions, and more where cells would exceed about
+    ``cell_rows`` rows, so a group with a third of all rows is many tasks' work. The
     cell counts are one row a cell and are combined before the shuffle. ``df`` is read twice.
 
     A cell's key is one struct: unlike several nullable columns it is never null, so that the
     window and the join agree on how rows are dealt and ``df`` is shuffled once.
     """
-    n_hash = max(1, -(-rows // cell_rows))
+    n_hash = max(-(-rows // cell_rows), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = [*groups, *cells]
     keyed = df.withColumn("__cell", F.struct(*keys, F.pmod(F.xxhash64(*spread), F.lit(n_hash)).cast("int").alias("__h")))
     per = [F.col("__cell")[k] for k in groups]
