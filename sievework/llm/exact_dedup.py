@@ -16,13 +16,15 @@ class DigestIndex:
     """A table of the digests seen so far, bucketed and sorted by digest.
 
     ``folder`` lies on storage that all executors share. The same folder, opened in a
-    later session with the same ``buckets``, is the same index. ``admit`` takes a batch of
+    later session with the same ``buckets``, is the same index; a new one has 64, or as many as the session
+    has shuffle partitions, unless told otherwise. ``admit`` takes a batch of
     digests: those already present are found by a sort-merge anti-join on the bucketed
     table, the others are appended. Appends add files, so after many batches ``compact``
     rewrites one sorted file a bucket.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, folder: str, buckets: int | None = None):
+        buckets = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.spark, self.folder, self.buckets = spark, folder, buckets
         self.table = "digest_index_" + uuid.uuid5(uuid.NAMESPACE_URL, folder).hex
         spark.sql(f"CREATE TABLE IF NOT EXISTS {self.table} ({_SCHEMA}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{folder}'")
@@ -85,7 +87,7 @@ def drop_exact(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     on (id, digest), keys that no hot group shares.
     """
     # one struct as the key is never null: the join and the window after it deal rows alike, so text moves once
-    gone = exact_dedup(docs, index).where("NOT kept").select(F.struct("doc_id", "digest").alias("__gone")).distinct()
+    gone = exact_dedup(docs, index).where("NOT kept").select(F.struct("doc_id", "digest").alias("__gone"))
     gone = staged(gone, "dropped")
     sha = F.unhex(F.sha2(F.encode(lower_ascii(text_or_empty("text")), "UTF-8"), 256))
     whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.struct(docs["doc_id"].cast("bigint").alias("doc_id"), sha.alias("digest")).alias("__key"))

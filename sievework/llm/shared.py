@@ -2,80 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_REPO = str(Path(__file__).resolve().parents[2])
-_ROOTS: dict[str, str] = {}
-
-
-def workers_can_import(spark: SparkSession) -> None:
-    """Let Python workers import this package when it is not installed on them.
-
-    A cluster has the package on its PYTHONPATH or installed; local runs from a
-    checkout get the checkout added once.
-    """
-    env = spark.sparkContext.environment
-    known = env.get("PYTHONPATH", "")
-    if _REPO not in known.split(os.pathsep) + os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (known, _REPO) if x)
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the cluster's spark.checkpoint.dir.
-
-    Only where that is unset, and only when Spark runs in one local process, a
-    temporary folder takes its place.
-    """
-    sc = spark.sparkContext
-    given = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if given:
-        root = given
-    elif sc.applicationId in _ROOTS:
-        return _ROOTS[sc.applicationId]
-    elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-        root = "file://" + tempfile.mkdtemp(prefix="sievework-")
-    else:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if sc.applicationId not in _ROOTS:
-        own = f"{root.rstrip('/')}/sievework-{sc.applicationId}"
-        _ROOTS[sc.applicationId] = own
-        atexit.register(lambda: sc._jsc is not None and delete_path(spark, own))
-    return _ROOTS[sc.applicationId]
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder on whatever file system its address names."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-class Staged:
-    """A table written to the shared folder; reading it starts a fresh lineage."""
-
-    def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
-        self.path = f"{scratch_root(self.spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        df.write.parquet(self.path)
-        self.schema = df.schema
+from sievework.session import Staged, delete_path, scratch_root, staged, workers_can_import
 
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        delete_path(self.spark, self.path)
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
-    return Staged(df, name).read()
+__all__ = ["Staged", "components", "delete_path", "lower_ascii", "ranked", "scratch_root", "staged", "text_or_empty", "workers_can_import"]
 
 
 def text_or_empty(column: str | Column) -> Column:
@@ -88,14 +20,6 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, upper, upper.lower())
 
 
-def null_safe(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
-    """Equality on ``columns`` under which nulls match."""
-    condition = F.lit(True)
-    for c in columns:
-        condition = condition & left[c].eqNullSafe(right[c])
-    return condition
-
-
 def ranked(df: DataFrame, groups: list[str], cells: list[str], order: list[str], spread: list[str], rows: int, cell_rows: int = 50_000) -> DataFrame:
     """Add ``pos``, each row's position from 1 within its group, without a task that holds a whole group.
 

@@ -190,7 +190,7 @@ def drop_near(docs: DataFrame, words: int = 3) -> DataFrame:
     """
     found = simhash_groups(docs, words)
     mine = F.struct("doc_id", "salt")
-    gone = staged(found.where(mine != F.col("lead")).select(mine.alias("__gone")).distinct(), "gone")
+    gone = staged(found.where(mine != F.col("lead")).select(mine.alias("__gone")), "gone")
     whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.struct(docs["doc_id"].cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty(docs["text"])).alias("salt")).alias("__key"))
     stay = whole.join(gone, F.col("__key") == F.col("__gone"), "left_anti")
     first = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64("row")))
