@@ -14,12 +14,12 @@ from .shared import ranked, staged, text_or_empty, workers_can_import
 
 CAPACITY = 4096
 END = 1
-#: Words whose ids a Python worker remembers before it starts anew; bounds its memory.
-REMEMBER = 1_500_000
+#: Words of a generation whose ids a Python worker remembers; bounds its memory.
+REMEMBER = 600_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 _loaded: dict[str, object] = {}
-_known: dict[str, dict[bytes, bytes]] = {}
+_known: dict[str, Memory] = {}
 
 
 def _tokenizer(path: str):
@@ -36,9 +36,47 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _memory(path: str) -> dict[bytes, bytes]:
-    """Ids of words seen by this Python worker; outlives a task, as workers are reused."""
-    return _known.setdefault(path, {})
+class Memory:
+    """Ids of words seen by this Python worker; outlives a task, as workers are reused.
+
+    Two generations of ``REMEMBER`` words at most: when the younger is full it becomes the older, and a
+    word found there is young again. So words that recur stay, and those seen once go.
+    """
+
+    def __init__(self):
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def learn(self, words: set[bytes], encode) -> dict[bytes, bytes]:
+        """A table that has all of ``words``. The pre-tokenizer parts a letter from a stop or comma that follows."""
+        if len(self.young) > REMEMBER:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        missing, stopped = set(), []
+        for w in words:
+            if w not in young:
+                if (ids := old.get(w)) is not None:
+                    young[w] = ids
+                elif 1 < len(w) <= 64 and w[-1] in b".," and 97 <= w[-2] <= 122:
+                    stopped.append(w)
+                else:
+                    missing.add(w)
+        for w in stopped:
+            for part in (w[:-1], w[-1:]):
+                if part not in young:
+                    if (ids := old.get(part)) is not None:
+                        young[part] = ids
+                    else:
+                        missing.add(part)
+        missing = list(missing)
+        young.update(zip(missing, encode(missing), strict=True))
+        for w in stopped:
+            young[w] = young[w[:-1]] + young[w[-1:]]
+        return young
+
+
+def _memory(path: str) -> Memory:
+    return _known.setdefault(path, Memory())
 
 
 def _encode(model, words: list[bytes]) -> Iterator[bytes]:
@@ -54,15 +92,13 @@ def token_ids(texts: list[bytes], path: str) -> Iterator[bytes]:
     depend on its neighbours or on the case of A-Z, and are worked out once for each word that
     recurs. A text that could hold the name of a special token, which does depend on case, is left as it is.
     """
-    model, known = _tokenizer(path), _memory(path)
+    model = _tokenizer(path)
     split = [(t if b"<|" in t else t.translate(_LOWER)).replace(b"\n", b" ").split(b" ") for t in texts]
-    if len(known) > REMEMBER:
-        known.clear()
-    new = [w for w in set().union(*split) if w not in known]
-    known.update(zip(new, _encode(model, new), strict=True))
-    for words in split:
-        yield b"".join(map(known.__getitem__, words))
-    for w in new:
+    words = set().union(*split)
+    known = _memory(path).learn(words, lambda new: _encode(model, new))
+    for words_of_text in split:
+        yield b"".join(map(known.__getitem__, words_of_text))
+    for w in words:
         if len(w) > 64:
             del known[w]
 
