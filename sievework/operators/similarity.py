@@ -27,12 +27,25 @@ def lost_recovery(original: Column, raw: Column, improved: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Of two count maps; 0 if either is empty."""
+    """Of two columns of count maps; 0 if either is empty. For token arrays see ``token_cosine``."""
     square = lambda m: F.sqrt(F.aggregate(F.map_values(m), F.lit(0.0), lambda s, v: s + v.cast("double") * v))
     dot = F.aggregate(F.map_keys(a), F.lit(0.0), lambda s, key: s + F.coalesce(F.element_at(a, key) * F.element_at(b, key).cast("double"), F.lit(0.0)))
     return F.coalesce(F.try_divide(dot, square(a) * square(b)), F.lit(0.0))
 
 
+def token_cosine(rows: DataFrame, key: list[str], a: Column, b: Column) -> DataFrame:
+    """``(*key, cosine)`` of the counts of two token arrays a row; 0 where they share none or one is empty.
+
+    Both sides' counts of a token meet in one aggregate, so no text is compared with another and the
+    work is that of the tokens.
+    """
+    tokens = lambda c, i: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda t: F.struct(t.alias("t"), F.lit(i).alias("a"), F.lit(1 - i).alias("b")))
+    flat = rows.select(*key, F.explode_outer(F.concat(tokens(a, 1), tokens(b, 0))).alias("x")).select(*key, "x.*")
+    counts = flat.groupBy(*key, "t").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
+    sums = counts.groupBy(*key).agg(F.sum(F.col("a") * F.col("b")).alias("dot"), F.sqrt(F.sum(F.col("a") * F.col("a"))).alias("na"), F.sqrt(F.sum(F.col("b") * F.col("b"))).alias("nb"))
+    return sums.select(*key, F.coalesce(F.try_divide("dot", F.col("na") * F.col("nb")), F.lit(0.0)).alias("cosine"))
+
+
 def weighted(values: dict[str, Column], weights: dict[str, float]) -> Column:
     """The weighted mean of the values that are not null; 0 if none is."""
     total, weight = F.lit(0.0), F.lit(0.0)

@@ -428,21 +428,20 @@ _TOKENS = "SELECT conv_id, turn, unnest(string_split({0}, ' ')) AS w FROM ({1})
 _COSINE = f"WITH a AS (SELECT conv_id, turn, w, count(*) AS n FROM ({_TOKENS.format('original', views.PAIRS)}) t GROUP BY ALL), b AS (SELECT conv_id, turn, w, count(*) AS n FROM ({_TOKENS.format('candidate', views.PAIRS)}) t GROUP BY ALL), na AS (SELECT conv_id, turn, sqrt(sum(n * n)) AS z FROM a GROUP BY ALL), nb AS (SELECT conv_id, turn, sqrt(sum(n * n)) AS z FROM b GROUP BY ALL), dot AS (SELECT conv_id, turn, sum(a.n * b.n) AS s FROM a JOIN b USING (conv_id, turn, w) GROUP BY ALL), cos AS (SELECT na.conv_id, na.turn, coalesce(s, 0) / (na.z * nb.z) AS cosine FROM na JOIN nb USING (conv_id, turn) LEFT JOIN dot USING (conv_id, turn))"
 
 
-def _histogram(c: str):
-    words = F.split(c, " ")
-    kinds = F.array_distinct(words)
-    return F.map_from_arrays(kinds, F.transform(kinds, lambda k: F.size(F.filter(words, lambda w: w == k))))
+def _cosines(rows):
+    return similarity.token_cosine(rows, ["conv_id", "turn"], F.split("original", " "), F.split("candidate", " "))
 
 
 @query("s_token_cosine", f"{_COSINE} SELECT conv_id, turn, CAST(round(cosine, 6) AS DOUBLE) AS cosine FROM cos")
 def s_token_cosine(spark, d):
-    return on_spark(spark, d, views.PAIRS).select("conv_id", "turn", F.round(similarity.cosine(_histogram("original"), _histogram("candidate")), 6).alias("cosine"))
+    return _cosines(on_spark(spark, d, views.PAIRS)).select("conv_id", "turn", F.round("cosine", 6).alias("cosine"))
 
 
 @query("s_weighted_overall", f"{_COSINE}, s AS ({_SETS}), x AS (SELECT s.conv_id, s.turn, cosine, len(list_intersect(o, c)) / nullif(len(o), 0) AS ident, CASE WHEN s.turn % 2 = 0 THEN CAST(s.turn AS DOUBLE) / 10 END AS lit FROM s JOIN cos USING (conv_id, turn)) SELECT conv_id, turn, CAST(round((0.15 * cosine + coalesce(0.30 * ident, 0) + coalesce(0.20 * lit, 0)) / (0.15 + CASE WHEN ident IS NULL THEN 0 ELSE 0.30 END + CASE WHEN lit IS NULL THEN 0 ELSE 0.20 END), 6) AS DOUBLE) AS overall FROM x")
 def s_weighted_overall(spark, d):
     rows = on_spark(spark, d, views.PAIRS)
-    values = {"ast_shape": similarity.cosine(_histogram("original"), _histogram("candidate")), "identifier_recovery": similarity.recall(_words("original"), _words("candidate")), "literal_recovery": F.when(F.col("turn") % 2 == 0, F.col("turn").cast("double") / 10)}
+    rows = rows.join(_cosines(rows), ["conv_id", "turn"])
+    values = {"ast_shape": F.col("cosine"), "identifier_recovery": similarity.recall(_words("original"), _words("candidate")), "literal_recovery": F.when(F.col("turn") % 2 == 0, F.col("turn").cast("double") / 10)}
     return rows.select("conv_id", "turn", F.round(similarity.weighted(values, {k: v for k, v in similarity.SIMILARITY_WEIGHTS.items() if k in values}), 6).alias("overall"))
 
 
