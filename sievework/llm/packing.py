@@ -20,6 +20,7 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 
 _loaded: dict[str, object] = {}
 _known: dict[str, Memory] = {}
+_ends: dict[str, np.ndarray] = {}
 
 
 def _tokenizer(path: str):
@@ -68,8 +69,7 @@ class Memory:
                         young[part] = ids
                     else:
                         missing.add(part)
-        missing = list(missing)
-        young.update(zip(missing, encode(missing), strict=True))
+        young.update(encode(list(missing)))
         for w in stopped:
             young[w] = young[w[:-1]] + young[w[-1:]]
         return young
@@ -79,10 +79,43 @@ def _memory(path: str) -> Memory:
     return _known.setdefault(path, Memory())
 
 
-def _encode(model, words: list[bytes]) -> Iterator[bytes]:
-    for at in range(0, len(words), 4096):
-        for e in model.encode_batch_fast([w.decode() for w in words[at : at + 4096]], add_special_tokens=False):
-            yield np.array(e.ids, "<u4").tobytes()
+def _word_ends(path: str) -> np.ndarray:
+    """For each id, whether its token ends a word."""
+    if path not in _ends:
+        vocabulary = _tokenizer(path).get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        _ends[path] = ends
+    return _ends[path]
+
+
+def _encode(path: str, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    """Each word with its ids.
+
+    Words of letters alone are one pre-token each, whose last id alone ends a word. They are encoded many to a
+    text and parted there; if that gives another number of words, each is encoded on its own.
+    """
+    model, ends, rest, texts, groups = _tokenizer(path), _word_ends(path), [], [], []
+    letters = []
+    for w in words:
+        (letters if w.isalpha() or w.decode().isalpha() else rest).append(w)
+    for at in range(0, len(letters), 256):
+        groups.append(letters[at : at + 256])
+        texts.append(b" ".join(groups[-1]).decode())
+    for group, e in zip(groups, model.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        ids = np.array(e.ids, "<u4")
+        cuts = 4 * (np.flatnonzero(ends[ids]) + 1)
+        if len(cuts) == len(group):
+            whole, a = ids.tobytes(), 0
+            for w, b in zip(group, cuts.tolist(), strict=True):
+                yield w, whole[a:b]
+                a = b
+        else:
+            rest += group
+    for at in range(0, len(rest), 4096):
+        part = rest[at : at + 4096]
+        for w, e in zip(part, model.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+            yield w, np.array(e.ids, "<u4").tobytes()
 
 
 def token_ids(texts: list[bytes], path: str) -> Iterator[bytes]:
@@ -92,10 +125,9 @@ def token_ids(texts: list[bytes], path: str) -> Iterator[bytes]:
     depend on its neighbours or on the case of A-Z, and are worked out once for each word that
     recurs. A text that could hold the name of a special token, which does depend on case, is left as it is.
     """
-    model = _tokenizer(path)
     split = [(t if b"<|" in t else t.translate(_LOWER)).replace(b"\n", b" ").split(b" ") for t in texts]
     words = set().union(*split)
-    known = _memory(path).learn(words, lambda new: _encode(model, new))
+    known = _memory(path).learn(words, lambda new: _encode(path, new))
     for words_of_text in split:
         yield b"".join(map(known.__getitem__, words_of_text))
     for w in words:
