@@ -75,7 +75,8 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     index = index or DigestIndex(spark, fresh_folder(spark))
     rows = staged(digests(docs), "doc-digests")
     groups = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    index.admit(groups)
+    # stored, as else the optimizer moves the anti-join below the aggregate, to all rows of a hot digest
+    index.admit(staged(groups, "groups"))
     known = index.read_plain()
     return rows.join(known, "digest").select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
 
