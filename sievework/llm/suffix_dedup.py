@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -225,9 +226,9 @@ def _ask_windows(parts: int):
                 live = _bits(_by_part(row["grams_told"]), np.diff(c.cuts))
                 _, _, _, distinct, least, cuts = c.rows(live, parts)
                 hit = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-                # by columns, as neighbours in sorted order are alike
+                # by columns and packed: text that the shuffle's fast codec hardly shrinks
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hit, pa.int32()), pa.array([row["chunk"]] * len(hit), pa.int64()), pa.array([distinct[cuts[p] : cuts[p + 1], 8:].T.tobytes() for p in hit], pa.binary()), pa.array([least[cuts[p] : cuts[p + 1]].tobytes() for p in hit], pa.binary())],
+                    [pa.array(hit, pa.int32()), pa.array([row["chunk"]] * len(hit), pa.int64()), pa.array([zlib.compress(distinct[cuts[p] : cuts[p + 1], 8:].T.tobytes(), 1) for p in hit], pa.binary()), pa.array([least[cuts[p] : cuts[p + 1]].tobytes() for p in hit], pa.binary())],
                     ["part", "chunk", "segments", "least"],
                 )
 
@@ -286,7 +287,7 @@ def repeats(symbols: np.ndarray, low: np.ndarray, count: np.ndarray, ids: np.nda
 def _tell_windows(key: tuple, table: pa.Table) -> pa.Table:
     ids = [np.frombuffer(x, np.int64) for x in table["least"].to_pylist()]
     sizes = [len(x) for x in ids]
-    told = np.concatenate([np.frombuffer(x, np.uint8).reshape(2 + COLUMNS, k) for x, k in zip(table["segments"].to_pylist(), sizes, strict=True)], axis=1)
+    told = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8).reshape(2 + COLUMNS, k) for x, k in zip(table["segments"].to_pylist(), sizes, strict=True)], axis=1)
     low, count = told[0].astype(np.int64), told[1].astype(np.int64)
     hit = repeats(told[2:], low, count, np.concatenate(ids))
     at = np.arange(REACH + 1)[None, :]
