@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .minhash import SIMILARITY, WORDS, similar_groups
 from .shared import Staged, components, staged, text_or_empty, workers_can_import
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -183,12 +184,14 @@ def simhash_groups(docs: DataFrame, words: int = 3) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", "salt", "fp", "component_id", "lead")
 
 
-def drop_near(docs: DataFrame, words: int = 3) -> DataFrame:
+def drop_near(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, all columns kept.
 
+    Near is a Jaccard similarity of ``similarity`` or more of shingles of ``words`` words, see
+    ``minhash.similar_groups``; the 3 words and 3 bits of ``simhash_groups`` are the contract of op8 alone.
     The smallest doc_id of the group stays. Of rows repeated with that id and text one stays.
     """
-    found = simhash_groups(docs, words)
+    found = similar_groups(docs, words, similarity)
     mine = F.struct("doc_id", "salt")
     gone = staged(found.where(mine != F.col("lead")).select(mine.alias("__gone")), "gone")
     whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.struct(docs["doc_id"].cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty(docs["text"])).alias("salt")).alias("__key"))
