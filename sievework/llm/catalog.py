@@ -25,4 +25,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_suffix_dedup": suffix_dedup.OP2_SQL,
     "op6_chat_preferences": chat.OP6_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op10_mixing": mixing.OP10_SQL,
 }

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ranked, staged, text_or_empty, workers_can_import
+from .shared import hash_key, ranked, staged, text_or_empty, workers_can_import
 
 CAPACITY = 4096
 END = 1
@@ -296,7 +296,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     rows = {int(r[0]): int(r[1]) for r in pieces.groupBy("length").count().collect()}
     slots = pieces.sparkSession.sparkContext.broadcast(_slots(pack_lengths(rows, capacity)))
-    placed = ranked(pieces, ["length"], [], ["doc_id", "piece"], ["doc_id", "piece"], sum(rows.values()))
+    # the ids' checksum parts pieces whose documents have no id, or the same
+    keyed = pieces.withColumn("__h", hash_key("doc_id", "piece", "ids_crc32"))
+    placed = ranked(keyed, ["length"], [], "__h", ["doc_id", "piece", "ids_crc32"], sum(rows.values())).drop("__h")
     columns = [c for c in placed.columns if c != "pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

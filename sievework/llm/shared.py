@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.session import Staged, delete_path, scratch_root, staged, workers_can_import
 
-__all__ = ["Staged", "components", "delete_path", "lower_ascii", "ranked", "scratch_root", "staged", "text_or_empty", "workers_can_import"]
+__all__ = ["Staged", "components", "delete_path", "hash_key", "lower_ascii", "ranked", "scratch_root", "staged", "text_or_empty", "workers_can_import"]
 
 
 def text_or_empty(column: str | Column) -> Column:
@@ -20,42 +20,55 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, upper, upper.lower())
 
 
-def ranked(df: DataFrame, groups: list[str], cells: list[str], order: list[str], spread: list[str], rows: int, cell_rows: int = 50_000) -> DataFrame:
+def hash_key(*columns: str | Column) -> Column:
+    """A fixed-width hexadecimal hash of the columns, whose text order is the order that ``ranked`` gives rows."""
+    return F.lpad(F.hex(F.xxhash64(*columns)), 16, "0")
+
+
+def ranked(df: DataFrame, groups: list[str], cells: list[str], key: str, order: list[str], rows: int, cell_rows: int = 50_000, slim: DataFrame | None = None) -> DataFrame:
     """Add ``pos``, each row's position from 1 within its group, without a task that holds a whole group.
 
-    A group is cut into cells by ``cells`` and by a hash of ``spread``; a row's
-    position is its rank within its cell plus the rows of the cells before it. There are as many
-    hashes as the session has shuffle partitions, and more where cells would exceed about
-    ``cell_rows`` rows, so a group with a third of all rows is many tasks' work. The
-    cell counts are one row a cell and are combined before the shuffle. ``df`` is read twice.
+    Rows of a group stand in order of ``cells``, then of ``key`` (a hexadecimal hash of fixed width), then of
+    ``order``; that depends on the rows alone. The session's shuffle partitions and the number of rows decide only how finely the order is cut into
+    ranges of the key, of about ``cell_rows`` rows or fewer: a row's position is its rank within its
+    range plus the rows of the ranges before it. So a group with a third of all rows is many tasks' work. Ranges are
+    summed within a cell first and cells within a group after, so neither window holds more than one of the two.
+    ``slim`` has the columns of groups, cells and key of the same rows, stored, if reading ``df`` twice is dear.
 
-    A cell's key is one struct: unlike several nullable columns it is never null, so that the
-    window and the join agree on how rows are dealt and ``df`` is shuffled once.
+    A range's name is one struct: unlike several nullable columns it is never null, so that the
+    window and the join agree on how rows are dealt and ``df`` is shuffled once. Rows alike in key and
+    all of ``order`` share a range; they are read as a stream, not held.
     """
-    n_hash = max(-(-rows // cell_rows), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    keys = [*groups, *cells]
-    keyed = df.withColumn("__cell", F.struct(*keys, F.pmod(F.xxhash64(*spread), F.lit(n_hash)).cast("int").alias("__h")))
-    per = [F.col("__cell")[k] for k in groups]
-    before = Window.partitionBy(*per).orderBy(*[F.col("__cell")[k] for k in cells], F.col("__cell")["__h"]).rowsBetween(Window.unboundedPreceding, -1)
-    counts = keyed.groupBy("__cell").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.select(F.col("__cell").alias("__key"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = keyed.withColumn("__r", F.row_number().over(Window.partitionBy("__cell").orderBy(*order)))
-    joined = inside.join(offsets, F.col("__cell") == F.col("__key"))
+    bits = min(32, (max(-(-rows // cell_rows), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) - 1).bit_length())
+    cut = F.shiftright(F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint"), 32 - bits)
+    mark = lambda t: t.withColumn("__cell", F.struct(F.struct(*groups, *cells).alias("bin"), cut.alias("cut")))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    counts = mark(df if slim is None else slim).groupBy("__cell").agg(F.count(F.lit(1)).alias("__n")).select("__cell", "__n", F.col("__cell.bin").alias("__bin"))
+    inside = counts.withColumn("__in", F.coalesce(F.sum("__n").over(before(Window.partitionBy("__bin").orderBy(F.col("__cell.cut")))), F.lit(0)))
+    if cells:
+        bins = counts.groupBy("__bin").agg(F.sum("__n").alias("__n"))
+        per = before(Window.partitionBy(F.struct(*[F.col("__bin")[g].alias(g) for g in groups])).orderBy(*[F.col("__bin")[c] for c in cells]))
+        bins = bins.select(F.col("__bin").alias("__which"), F.coalesce(F.sum("__n").over(per), F.lit(0)).alias("__to"))
+        inside = inside.join(bins, F.col("__bin") == F.col("__which")).withColumn("__in", F.col("__in") + F.col("__to"))
+    offsets = inside.select(F.col("__cell").alias("__key"), F.col("__in").alias("__before"))
+    placed = mark(df).withColumn("__r", F.row_number().over(Window.partitionBy("__cell").orderBy(key, *order)))
+    joined = placed.join(offsets, F.col("__cell") == F.col("__key"))
     return joined.withColumn("pos", F.col("__before") + F.col("__r")).drop("__cell", "__key", "__r", "__before")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """The smallest node that each node of ``edges(a, b)`` can reach: ``(node, root)``.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014): each
     round links every node to the smallest of its neighbourhood, which shrinks depth
     geometrically while the number of edges never grows. Each round is a table in the
-    shared folder, so a lost executor costs one round at most. Nodes without edges are absent.
+    shared folder, so a lost executor costs one round at most. It ends when a round changes nothing, as it
+    does after O(log^2 n) rounds. Nodes without edges are absent.
     """
     ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = Staged(ordered, "edges")
     last = None
-    for _ in range(most_rounds):
+    while True:
         e = now.read()
         both = e.union(e.select(F.col("b"), F.col("a")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -73,7 +86,5 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         now, last = after, seen
         if seen == was:
             break
-    else:
-        raise RuntimeError(f"components did not settle within {most_rounds} rounds")
     e = now.read()
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b").distinct())
