@@ -123,7 +123,7 @@ class Graph:
     def nearest(self, query: np.ndarray, width: int) -> np.ndarray:
         if self.entry < 0:
             return np.empty(0, np.int64)
-        q = np.append(query.astype(np.float32), np.float32(0))
+        q = np.append(_scaled(query).astype(np.float32), np.float32(0))
         near = [(float(self.points[self.entry] @ q), self.entry)]
         for layer in range(self.top, 0, -1):
             near = self._search(q, near, 1, layer)
@@ -154,10 +154,22 @@ class Graph:
         return g
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Doubles times the power of two that brings the largest to about 1, so that single precision can hold them."""
+    return np.ldexp(x, -int(np.frexp(np.abs(x).max(initial=0))[1]))
+
+
 def _lifted(vectors: np.ndarray) -> np.ndarray:
-    x = vectors.astype(np.float32)
-    square = (x.astype(np.float64) ** 2).sum(axis=1)
-    return np.column_stack([x, np.sqrt(np.maximum(square.max(initial=0) - square, 0)).astype(np.float32)])
+    x = _scaled(vectors)
+    square = (x**2).sum(axis=1)
+    return np.column_stack([x, np.sqrt(np.maximum(square.max(initial=0) - square, 0))]).astype(np.float32)
+
+
+def _norm_bins(vectors: np.ndarray) -> np.ndarray:
+    """Which span of eight octaves a norm lies in: vectors of one graph are close enough in length for single precision."""
+    most = np.abs(vectors).max(axis=1)
+    log = np.log2(most) + 0.5 * np.log2(((vectors / most[:, None]) ** 2).sum(axis=1))
+    return np.floor((log + 4) / 8).astype(np.int32)
 
 
 def usable(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -184,13 +196,17 @@ def _merge_copies(vectors: np.ndarray, ids: list[np.ndarray], most: int) -> tupl
     return vectors[first], [np.unique(flat[a:b])[:most] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+_STORE = "shard int, dim int, bin int, vectors binary, ids binary, sizes binary, parts array<binary>"
+
+
 def build_index(rows: DataFrame, k: int, shards: int | None = None, shard_rows: int = 100_000, links: int = 12, width: int = 64) -> DataFrame:
-    """A graph for each shard of ``usable`` vectors: ``(shard, dim, vectors, ids, sizes, parts)``, one row a shard.
+    """Graphs of ``usable`` vectors: ``(shard, dim, bin, vectors, ids, sizes, parts)``, one row for each shard, length and span of norms.
 
     A vector's shard is a hash of it, so copies meet; they become one node that knows its
     ``k`` + 1 smallest ids, which is all that an answer of ``k`` can need. Copies are merged in
     the map tasks first, so a vector that a third of all rows share sends few rows. There is one
-    shard for each ``shard_rows`` rows, 12 at least; a shard's graph is built in one task.
+    shard for each ``shard_rows`` rows, 12 at least; a shard is one task, whatever the hash of its number.
+    Vectors whose norms lie more than some octaves apart are in graphs of their own, as single precision could not tell the short ones apart.
     """
     spark = rows.sparkSession
     workers_can_import(spark)
@@ -205,58 +221,103 @@ def build_index(rows: DataFrame, k: int, shards: int | None = None, shard_rows:
                 vectors, shard = _as_rows(part.column(2)), part.column(0).to_numpy()
                 order = np.column_stack([shard.astype(np.float64), vectors])
                 kept, ids = _merge_copies(order, [np.array([i]) for i in part.column(3).to_numpy()], k + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0].astype(np.int32)), pa.array(np.full(len(kept), dim, np.int32)), pa.array([v.tobytes() for v in kept[:, 1:]]), pa.array([i.tobytes() for i in ids])], ["shard", "dim", "vec", "ids"])
-
-    def build(key: tuple, table: pa.Table) -> pa.Table:
-        dim = key[1].as_py()
-        vectors = np.frombuffer(b"".join(table["vec"].to_pylist()), np.float64).reshape(-1, dim)
-        vectors, ids = _merge_copies(vectors, [np.frombuffer(i, np.int64) for i in table["ids"].to_pylist()], k + 1)
-        # inserted in an order that doesn't follow the values
-        order = np.random.default_rng(1).permutation(len(vectors))
-        vectors, ids = vectors[order], [ids[i] for i in order]
-        graph = Graph(vectors, links, width)
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "dim": pa.array([dim], pa.int32()), "vectors": [vectors.tobytes()], "ids": [np.concatenate(ids).tobytes()], "sizes": [np.array([len(i) for i in ids], np.int32).tobytes()], "parts": pa.array([graph.pack()], pa.list_(pa.binary()))})
-
-    merged = keyed.mapInArrow(combine, "shard int, dim int, vec binary, ids binary")
-    return merged.groupBy("shard", "dim").applyInArrow(build, "shard int, dim int, vectors binary, ids binary, sizes binary, parts array<binary>")
-
-
-def search(index: DataFrame, queries: DataFrame, k: int, width: int = 96, block_rows: int = 20_000) -> DataFrame:
+                yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0].astype(np.int32)), pa.array(np.full(len(kept), dim, np.int32)), pa.array(_norm_bins(kept[:, 1:])), pa.array([v.tobytes() for v in kept[:, 1:]]), pa.array([i.tobytes() for i in ids])], ["shard", "dim", "bin", "vec", "ids"])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (shard, dim, span), vecs, held in _runs(batches):
+            vectors = np.frombuffer(b"".join(vecs), np.float64).reshape(-1, dim)
+            vectors, ids = _merge_copies(vectors, [np.frombuffer(i, np.int64) for i in held], k + 1)
+            # inserted in an order that doesn't follow the values
+            order = np.random.default_rng(1).permutation(len(vectors))
+            vectors, ids = vectors[order], [ids[i] for i in order]
+            parts = Graph(vectors, links, width).pack()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([shard], pa.int32()), pa.array([dim], pa.int32()), pa.array([span], pa.int32()), pa.array([vectors.tobytes()]), pa.array([np.concatenate(ids).tobytes()]), pa.array([np.array([len(i) for i in ids], np.int32).tobytes()]), pa.array([parts], pa.list_(pa.binary()))],
+                ["shard", "dim", "bin", "vectors", "ids", "sizes", "parts"],
+            )
+
+    merged = keyed.mapInArrow(combine, "shard int, dim int, bin int, vec binary, ids binary")
+    return merged.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "dim", "bin").mapInArrow(build, _STORE)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list, list]]:
+    """The rows of each run of equal (shard, dim, bin) of sorted batches."""
+    key, vecs, ids = None, [], []
+    for batch in batches:
+        names = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+        for name, vec, held in zip(names, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            if name != key:
+                if vecs:
+                    yield key, vecs, ids
+                key, vecs, ids = name, [], []
+            vecs.append(vec)
+            ids.append(held)
+    if vecs:
+        yield key, vecs, ids
+
+
+class Store:
+    """One row of the index, ready to be asked."""
+
+    def __init__(self, dim: int, vectors: bytes, ids: bytes, sizes: bytes, parts: list[bytes]):
+        self.vectors = np.frombuffer(vectors, np.float64).reshape(-1, dim)
+        self.sizes = np.frombuffer(sizes, np.int32)
+        self.ids, self.cuts = np.frombuffer(ids, np.int64), np.concatenate(([0], np.cumsum(self.sizes)))
+        self.graph = Graph.unpack(self.vectors, parts)
+
+    def ask(self, me: int, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        near = self.graph.nearest(q, width)
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = np.repeat((self.vectors[near] * q).sum(axis=1), self.sizes[near])
+        who = np.concatenate([self.ids[self.cuts[i] : self.cuts[i + 1]] for i in near])
+        return score[who != me], who[who != me]
+
+
+def best(score: np.ndarray, who: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best ids, each by its best score, best first and ties to the smaller id."""
+    order = np.lexsort((who, -score))
+    score, who = score[order], who[order]
+    first = np.sort(np.unique(who, return_index=True)[1])[:k]
+    return score[first], who[first]
+
+
+def search(index: DataFrame, queries: DataFrame, k: int, width: int = 96) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found for each of ``queries(vec_id, vec)``.
 
-    Each shard is asked by every query, in blocks of ``block_rows`` queries; a shard and a block are one task's
-    work. A shard answers with its best ``k`` by exact inner product in double precision, and
-    the shards' answers are merged by score, then by smaller id. A query's own id is left out.
+    A shard's graphs come first in its task and its queries stream past them in batches, so a task holds one
+    shard and one batch, and the index moves once. Each shard is asked with every query: on vectors without
+    clusters no smaller choice of shards keeps the recall. A shard answers with its best ``k`` by exact inner product in double precision, and
+    the shards' answers are merged by score, then by smaller id. A query's own id is left out. Queries repeated with
+    the same vector are asked once; an id with several vectors, as query or candidate, is one whose score is its best.
     """
     workers_can_import(queries.sparkSession)
-    blocks = max(1, -(-queries.count() // block_rows))
-    # one row of 8 bytes a shard of up to 100,000 vectors: small enough to send everywhere
-    homes = index.select(F.col("shard").alias("to_shard"), F.col("dim").alias("to_dim"))
-    asked = queries.select("vec_id", "vec", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("to_block")).join(F.broadcast(homes), F.size("vec") == F.col("to_dim"))
-    stores = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def answer(key: tuple, store: pa.Table, ask: pa.Table) -> pa.Table:
-        found, best, scores = [], [], []
-        if store.num_rows and ask.num_rows:
-            dim = store["dim"][0].as_py()
-            vectors = np.frombuffer(store["vectors"][0].as_py(), np.float64).reshape(-1, dim)
-            sizes = np.frombuffer(store["sizes"][0].as_py(), np.int32)
-            ids, cuts = np.frombuffer(store["ids"][0].as_py(), np.int64), np.concatenate(([0], np.cumsum(sizes)))
-            graph = Graph.unpack(vectors, store["parts"][0].as_py())
-            asking = _as_rows(ask["vec"].combine_chunks() if isinstance(ask["vec"], pa.ChunkedArray) else ask["vec"])
-            for me, q in zip(ask["vec_id"].to_pylist(), asking, strict=True):
-                near = graph.nearest(q, max(width, k + 1))
-                score = np.repeat((vectors[near] * q).sum(axis=1), sizes[near])
-                who = np.concatenate([ids[cuts[i] : cuts[i + 1]] for i in near]) if len(near) else np.empty(0, np.int64)
-                score, who = score[who != me], who[who != me]
-                top = np.lexsort((who, -score))[:k]
-                found.append(np.full(len(top), me))
-                best.append(who[top])
-                scores.append(score[top])
-        flat = lambda x, t: np.concatenate(x).astype(t) if x else np.empty(0, t)
-        return pa.table({"query_id": flat(found, np.int64), "vec_id": flat(best, np.int64), "score": flat(scores, np.float64)})
-
-    answers = stores.groupBy("shard", "dim", "block").cogroup(asked.groupBy("to_shard", "to_dim", "to_block")).applyInArrow(answer, "query_id bigint, vec_id bigint, score double")
+    shards = index.agg(F.max("shard")).first()[0]
+    if shards is None:
+        return queries.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    none = lambda t: F.lit(None).cast(t)
+    stores = index.select("shard", F.lit(0).alias("turn"), "dim", none("bigint").alias("me"), none("array<double>").alias("q"), "vectors", "ids", "sizes", "parts")
+    homes = F.explode(F.sequence(F.lit(0), F.lit(shards)))
+    asked = queries.select("vec_id", "vec").distinct().select(homes.alias("shard"), F.lit(1).alias("turn"), F.size("vec").alias("dim"), F.col("vec_id").alias("me"), F.col("vec").alias("q"), *[none(t).alias(n) for n, t in (("vectors", "binary"), ("ids", "binary"), ("sizes", "binary"), ("parts", "array<binary>"))])
+    rows = stores.union(asked).repartitionById(shards + 1, F.col("shard")).sortWithinPartitions("shard", "turn")
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[Store]] = {}
+        at = None
+        for batch in batches:
+            found: list[tuple[int, np.ndarray, np.ndarray]] = []
+            for i, (shard, turn, dim, me) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+                if shard != at:
+                    at, held = shard, {}
+                if turn == 0:
+                    held.setdefault(dim, []).append(Store(dim, *(batch.column(c)[i].as_py() for c in range(5, 9))))
+                elif dim in held:
+                    q = batch.column(4)[i].values.to_numpy(zero_copy_only=False)
+                    answers = [s.ask(me, q, max(width, k + 1)) for s in held[dim]]
+                    found.append((me, *best(np.concatenate([a for a, _ in answers]), np.concatenate([b for _, b in answers]), k)))
+            flat = lambda c, t: np.concatenate([np.empty(0, t), *[x[c] for x in found]]).astype(t)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([m for m, _, _ in found], np.int64), [len(b) for _, _, b in found])), pa.array(flat(2, np.int64)), pa.array(flat(1, np.float64))], ["query_id", "vec_id", "score"])
+
+    answers = rows.mapInArrow(answer, "query_id bigint, vec_id bigint, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return answers.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -265,7 +326,7 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 20, **optio
     """``query_id, rank, vec_id, score`` of ``queries`` against all ``rows``; both are tables of ``usable`` rows.
 
     Fewer than ``k`` candidates give them all. Rows repeated with the same id and vector are one
-    candidate. Vectors of different lengths never meet. An empty table gives no rows.
+    candidate, and so is an id with several vectors, by its best. Vectors of different lengths never meet; products beyond a double's range are infinite. An empty table gives no rows.
     """
     index = staged(build_index(rows, k, **options), "graph")
     return search(index, queries, k)

@@ -269,6 +269,44 @@ def test_index_remembers(spark, tmp_path):
     assert again.read().count() == 3
 
 
+def test_index_outlives_settings(spark, tmp_path):
+    """The bucket count is the folder's: another session's settings or a lost catalog change nothing."""
+    folder, rows = str(tmp_path / "index"), [(i, f"text {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    index = exact_dedup.DigestIndex(spark, folder, buckets=4)
+    assert all(r["kept"] for r in exact_dedup.exact_dedup(df, index).collect())
+    index.close()
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "80")
+    try:
+        again = exact_dedup.DigestIndex(spark, folder)
+        assert again.buckets == 4
+        later = df.withColumn("doc_id", F.col("doc_id") + 1_000)
+        assert not any(r["kept"] for r in exact_dedup.exact_dedup(later, again).collect())
+        assert again.read().count() == 200
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    again.compact()
+    assert exact_dedup.DigestIndex(spark, folder, buckets=4).read().count() == 200
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, folder, buckets=8)
+
+
+@pytest.mark.parametrize("batches", (1, 2, 5))
+def test_batches_agree(spark, docs, plain, batches):
+    """Rows repeated, null ids, and texts that meet themselves in the index, in any number of batches."""
+    rows = docs.select("doc_id", "text").union(docs.select("doc_id", "text").where("doc_id % 5 = 0"))
+    rows = rows.union(spark.createDataFrame([(None, "one two three"), (None, "only null"), (None, "only null")], "doc_id bigint, text string"))
+    got = sorted(str((r["doc_id"], r["keep_id"], r["group_size"], r["kept"])) for r in exact_dedup.exact_dedup(rows, batches=batches).collect())
+    whole = [(r["doc_id"], r["text"]) for r in rows.collect()]
+    groups = {}
+    for i, t in whole:
+        groups.setdefault((t or "").translate(brute.LOWER), []).append(i)
+    keep = {t: max((i for i in g if i is not None), default=None) for t, g in groups.items()}
+    keys = [(t or "").translate(brute.LOWER) for _, t in whole]
+    assert got == sorted(str((i, keep[k], len(groups[k]), i == keep[k])) for (i, _), k in zip(whole, keys))
+
+
 def test_drop_exact(spark):
     rows = [(1, "a", "x"), (2, "A", "y"), (2, "A", "y"), (3, None, None), (None, "q", "n"), (None, "Q", "m"), (5, "", "z")]
     out = exact_dedup.drop_exact(clashing(spark.createDataFrame(rows, "doc_id bigint, text string, source string")))
@@ -362,6 +400,38 @@ def test_mix(spark, docs, plain, tmp_path):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.op10_query(spark, path).collect()))
 
 
+def test_mix_equals_a_plain_systematic_sample(spark, docs):
+    """Copies by summing up expected copies row by row, whatever the session's partitions; rows repeated, null ids and sources."""
+    import hashlib
+    import math
+
+    rows = docs.select("doc_id", "text", "source").union(docs.select("doc_id", "text", "source").where("doc_id % 6 = 0"))
+    rows = rows.union(spark.createDataFrame([(None, "a b", "src0"), (None, "a b c", "src0"), (None, "a b", None), (None, None, None)], "doc_id bigint, text string, source string"))
+    plain = [(r["doc_id"], r["text"], r["source"]) for r in rows.collect()]
+    size = lambda t: len(brute.WORD.findall(t or ""))
+    per = {}
+    for _, t, s in plain:
+        per[s] = per.get(s, 0) + size(t)
+    want, expected = brute.targets(per), []
+    for s in per:
+        def place(row):
+            digits = f"{size(row[1]) + 1:b}"
+            return len(digits), digits[1:4].ljust(3, "0"), hashlib.md5(f"{'' if row[0] is None else row[0]}:{row[1] or ''}".encode()).hexdigest()
+
+        rate = want[s] / per[s] if per[s] else 0.0
+        at = int(hashlib.md5(f"20240601:{chr(0) if s is None else s}".encode()).hexdigest()[:13], 16) / 2.0**52
+        for n, row in enumerate(sorted((r for r in plain if r[2] == s), key=place), 1):
+            expected.append((str(row), math.floor(n * rate + at) - math.floor((n - 1) * rate + at)))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in ("4", "37"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            got = [(str((r["row"]["doc_id"], r["row"]["text"], r["row"]["source"])), r["copies"]) for r in mixing.mix(rows, cell_rows=20).collect()]
+            assert sorted(got) == sorted(expected)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 def test_mix_takes_each_its_share(spark):
     df = spark.createDataFrame([(i, "w " * 10, "a" if i < 600 else "b") for i in range(900)], "doc_id bigint, text string, source string")
     out = mixing.mixed_documents(df, weights=(1, 2))

@@ -147,6 +147,39 @@ def test_small_awkward_and_copies(spark):
     assert {q: [i for i, _ in v] for q, v in plain.items()} == got
 
 
+def answers(df, k=20):
+    good, got = vectors.usable(df), {}
+    for r in sorted(vectors.nearest_neighbours(good, good.where("vec_id % 20 = 0"), k).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    return got
+
+
+def test_components_beyond_single_precision(spark):
+    """Norms from 1e-200 to 1e200 in one table: all of the true neighbours, as the table is small."""
+    rng = np.random.default_rng(4)
+    scale = 10.0 ** rng.choice([-200, -3, 0, 0, 3, 150, 200], 400)
+    scale[::20] = 10.0 ** rng.choice([-3, 0, 3], 20)
+    rows = [(i, (rng.normal(size=8) * x).tolist()) for i, x in enumerate(scale)]
+    want = {q: [i for i, _ in v] for q, v in brute.nearest(rows, 20).items()}
+    got = answers(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    assert set(got) == set(want) and len(got) == 20
+    assert np.mean([len(set(got[q]) & set(want[q])) / 20 for q in want]) >= 0.99
+
+
+def test_repeated_queries_and_ids_of_several_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(100)]
+    rows += [rows[0], rows[0], rows[20], rows[7]] + [(20, rng.normal(size=6).tolist()), (9, rng.normal(size=6).tolist())]
+    got = answers(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    want = {}
+    for q, v in rows:
+        for i, w in rows:
+            if q % 20 == 0 and i != q:
+                s = want.setdefault(q, {})
+                s[i] = max(s.get(i, -np.inf), float(np.dot(v, w)))
+    assert got == {q: [i for i, _ in sorted(s.items(), key=lambda x: (-x[1], x[0]))[:20]] for q, s in want.items()}
+
+
 def test_vectors_empty(spark):
     df = vectors.usable(spark.createDataFrame([], "vec_id bigint, embedding array<float>"))
     assert vectors.nearest_neighbours(df, df).count() == 0
