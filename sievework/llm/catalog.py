@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_url_filters": urls.OP1_SQL,
     "op2_suffix_dedup": suffix_dedup.OP2_SQL,
     "op6_chat_preferences": chat.OP6_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,

@@ -99,11 +99,15 @@ def _margins(model: LanguageModel, data: np.ndarray, offsets: np.ndarray) -> tup
     return total, count
 
 
-def _losses(model: LanguageModel, total: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Loss of each codeword: the logistic losses of its bits, weighted by how far each task is trusted for it."""
+def _bit_losses(model: LanguageModel, total: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Each document's logistic loss for every language's bits: (documents, languages, bits)."""
     margin = total / np.sqrt(np.maximum(count, 1))[:, None]
-    loss = np.logaddexp(0, -margin[:, None, :] * model.code[None, :, :])
-    return (loss * model.trust[None, :, :]).sum(axis=2)
+    return np.logaddexp(0, -margin[:, None, :] * model.code[None, :, :])
+
+
+def _losses(model: LanguageModel, total: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Loss of each codeword: the losses of its bits, weighted by how far each task is trusted for it."""
+    return (_bit_losses(model, total, count) * model.trust[None, :, :]).sum(axis=2)
 
 
 def predict(model: LanguageModel, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -146,18 +150,19 @@ def _counts(languages: list[str]):
     return run
 
 
-def _uniform(column) -> F.Column:
-    return (F.xxhash64(column, F.lit("language")).bitwiseAND(F.lit((1 << 52) - 1))).cast("double") / float(1 << 52)
+def _uniform() -> F.Column:
+    """A number from 0 to 1 that the row's id and text decide."""
+    return (F.xxhash64("doc_id", "text", F.lit("language")).bitwiseAND(F.lit((1 << 52) - 1))).cast("double") / float(1 << 52)
 
 
 def train(docs: DataFrame, most_docs: int = 8_000, most_trials: int = 500) -> LanguageModel:
     """Fit on ``docs(doc_id, text, lang)``; rows without a language are not used.
 
     Of a language with more than ``most_docs`` documents, a sample of about that many is learned
-    from, chosen by a hash of doc_id. Each bit's classifier is a linear one over hashed
+    from, chosen by a hash of id and text. Each bit's classifier is a linear one over hashed
     byte 1- to 3-grams: the log odds of a gram between the languages on either side, each
-    language weighing the same. How far a task is trusted for a language is its accuracy on about
-    ``most_trials`` of that language's documents.
+    language weighing the same. A tenth of a language's documents, about ``most_trials`` at most, is kept out of that and tries the
+    classifiers: a task is trusted for a language by exp(-its mean logistic loss) on them, 1/2 where none was tried.
     """
     spark = docs.sparkSession
     workers_can_import(spark)
@@ -169,11 +174,12 @@ def train(docs: DataFrame, most_docs: int = 8_000, most_trials: int = 500) -> La
     if not languages:
         return model
 
-    def sample(most: int) -> DataFrame:
-        rates = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, most / v)))])
-        return labelled.where(_uniform("doc_id") < rates[F.col("lang")]).select("lang", "text")
+    def rate(most: int, share: float):
+        return F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(share, most / v)))])[F.col("lang")]
 
-    summed = sample(most_docs).mapInArrow(_counts(languages), "lang int, slot int, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+    learn = labelled.where(_uniform() < rate(most_docs, 0.9)).select("lang", "text")
+    tries = labelled.where(_uniform() >= 1 - rate(most_trials, 0.1)).select("lang", "text")
+    summed = learn.mapInArrow(_counts(languages), "lang int, slot int, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(languages), DIM))
     counts[summed["lang"].to_numpy(), summed["slot"].to_numpy()] = summed["n"].to_numpy()
     odds = np.log((counts + 0.1) / (counts.sum(axis=1, keepdims=True) + 0.1 * DIM))
@@ -187,19 +193,22 @@ def train(docs: DataFrame, most_docs: int = 8_000, most_trials: int = 500) -> La
 
     def trials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        right, tried = np.zeros(m.code.shape, np.int64), np.zeros(len(m.languages), np.int64)
+        loss, tried = np.zeros(m.code.shape), np.zeros(len(m.languages), np.int64)
         for batch in batches:
-            which = np.array([m.languages.index(x) for x in batch.column(0).to_pylist()])
+            which = np.array([m.languages.index(x) for x in batch.column(0).to_pylist()], np.int64)
             if len(which):
-                total, _ = _margins(m, *_buffers(batch.column(1)))
-                np.add.at(right, which, (np.sign(total) == m.code[which]).astype(np.int64))
+                mine = _bit_losses(m, *_margins(m, *_buffers(batch.column(1))))[np.arange(len(which)), which]
+                np.add.at(loss, which, mine)
                 np.add.at(tried, which, 1)
-        i, b = np.nonzero(right + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(b), pa.array(right[i, b]), pa.array(tried[i])], ["lang", "bit", "right", "tried"])
+        i, b = np.nonzero(np.ones(m.code.shape))
+        # rounded, so that the sum does not depend on the order of the tasks
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(b), pa.array(np.rint(loss[i, b] * 2**20).astype(np.int64)), pa.array(tried[i])], ["lang", "bit", "loss", "tried"])
 
-    tested = sample(most_trials).mapInArrow(trials, "lang bigint, bit bigint, right bigint, tried bigint").groupBy("lang", "bit").agg(F.sum("right").alias("right"), F.sum("tried").alias("tried")).collect()
+    tested = tries.mapInArrow(trials, "lang bigint, bit bigint, loss bigint, tried bigint").groupBy("lang", "bit").agg(F.sum("loss").alias("loss"), F.sum("tried").alias("tried")).collect()
+    model.trust = np.full(code.shape, 0.5)
     for r in tested:
-        model.trust[r["lang"], r["bit"]] = (r["right"] + 1) / (r["tried"] + 2)
+        if r["tried"]:
+            model.trust[r["lang"], r["bit"]] = math.exp(-r["loss"] / 2**20 / r["tried"])
     model.trust /= model.trust.sum(axis=1, keepdims=True)
     return model
 
@@ -214,13 +223,14 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.crc32(F.encode(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "UTF-8")) % 5 == 0
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:
     """``row, lang_pred, score, ambiguous`` of every whole text.
 
     ``lang_pred`` is the language whose codeword has the least weighted loss, or ``und`` if the text
     is null or has no letter, or nothing was learned; then the score is 0 and it is ambiguous. The
     score is the codeword's share among exp(-loss); below ``least_score`` it is marked
-    ambiguous. Only the text decides. ``row`` has all columns; repeated rows are alike.
+    ambiguous. Only the text decides; empty and very long texts are read alike. ``row`` has the columns ``keep``, all by default; repeated rows are alike;
+    an empty table gives no rows.
     """
     workers_can_import(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -228,30 +238,20 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang, score, unsure = predict(shared.value, batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score), pa.array(unsure)], ["row", "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], ["row", "lang_pred", "score", "ambiguous"])
 
-    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
+    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep or docs.columns]).alias("row"), docs["text"].alias("text"))
     return whole.mapInArrow(run, f"row {whole.schema['row'].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean")
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """``docs`` without those whose language can't be told: no letter, or no codeword near enough."""
+    """``docs`` without those whose language can't be told: no letter, or no codeword near enough; rules as in ``identify``."""
     model = train(learnable(docs.select("doc_id", "text", "lang")))
     return identify(docs, model).where("lang_pred <> 'und' AND NOT ambiguous").select("row.*")
 
 
 def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract of op3 over the whole ``documents`` table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = train(learnable(docs.select("doc_id", "text", "lang")))
-    slim = docs.select("doc_id", "text")
-    workers_can_import(spark)
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lang, score, unsure = predict(shared.value, batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score), pa.array(unsure)], ["doc_id", "lang_pred", "score", "ambiguous"])
-
-    found = slim.mapInArrow(run, "doc_id bigint, lang_pred string, score double, ambiguous boolean")
-    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang")
+    found = identify(docs, train(learnable(docs)), keep=["doc_id"])
+    return found.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "lang_pred", "score", "ambiguous")

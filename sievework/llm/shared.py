@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.session import Staged, delete_path, scratch_root, staged, workers_can_import
 
-__all__ = ["Staged", "components", "delete_path", "hash_key", "lower_ascii", "ranked", "scratch_root", "staged", "text_or_empty", "workers_can_import"]
+__all__ = ["Staged", "components", "delete_path", "hash_key", "let", "lower_ascii", "prefix_sums", "ranked", "scratch_root", "staged", "text_or_empty", "workers_can_import"]
 
 
 def text_or_empty(column: str | Column) -> Column:
@@ -20,6 +20,31 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, upper, upper.lower())
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once a row, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def prefix_sums(lengths: Column, block: int = 256) -> Column:
+    """For each element of an array of numbers, the sum of those before it.
+
+    A fold that appends copies what it has at each step; folding blocks of ``block`` elements, and their sums, keeps that from
+    growing with the square of the array.
+    """
+
+    def running(numbers: Column, start: Column) -> Column:
+        zero = F.struct(start.cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(numbers, zero, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    def blocked(numbers: Column) -> Column:
+        last = F.floor((F.size(numbers) - 1) / block).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(numbers, i * block + 1, block))
+        sums = lambda bs: F.transform(bs, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda a, x: a + x))
+        return let(blocks, lambda bs: F.flatten(F.zip_with(bs, running(sums(bs), F.lit(0)), running)))
+
+    return let(lengths, lambda n: F.when(F.size(n) > 0, blocked(n)).otherwise(F.array().cast("array<bigint>")))
+
+
 def hash_key(*columns: str | Column) -> Column:
     """A fixed-width hexadecimal hash of the columns, whose text order is the order that ``ranked`` gives rows."""
     return F.lpad(F.hex(F.xxhash64(*columns)), 16, "0")

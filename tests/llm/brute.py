@@ -124,3 +124,58 @@ def nearest(rows, k):
             scored = sorted(((-math.fsum(a * b for a, b in zip(q, v)), j) for j, v in ok if j != i))
             out[i] = [(j, -s) for s, j in scored[:k]]
     return out
+
+
+def grams(text, dim):
+    """{slot: how often} of the byte 1- to 3-grams, A-Z folded and other ASCII but letters a space."""
+    data = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalpha() else 32 for b in text.encode())
+    out = {}
+    for order in (1, 2, 3):
+        for i in range(len(data) - order + 1):
+            value = 0
+            for b in data[i : i + order]:
+                value = (value * 257 + b) % 2**32
+            slot = (value * 2654435761 + order * 40503) % 2**32 >> 16
+            out[slot] = out.get(slot, 0) + 1
+    return out
+
+
+def language_model(learn, tries, languages, code, dim):
+    """(log odds of each task, trust): classifiers counted from ``learn``, trusted by how they do on ``tries``."""
+    share = []
+    for lang in languages:
+        n = {}
+        for text, x in learn:
+            if x == lang:
+                for slot, k in grams(text, dim).items():
+                    n[slot] = n.get(slot, 0) + k
+        total = sum(n.values()) + 0.1 * dim
+        share.append(lambda slot, n=n, total=total: (n.get(slot, 0) + 0.1) / total)
+
+    def odds(slot, bit):
+        sides = [[f(slot) for f, row in zip(share, code) if row[bit] == sign] for sign in (1, -1)]
+        return math.log(sum(sides[0]) / len(sides[0])) - math.log(sum(sides[1]) / len(sides[1]))
+
+    bits = range(len(code[0]))
+
+    def losses(text, row):
+        g = grams(text, dim)
+        size = math.sqrt(max(sum(g.values()), 1))
+        margin = [sum(k * odds(slot, b) for slot, k in g.items()) / size for b in bits]
+        return [math.log1p(math.exp(-m * row[b])) if m * row[b] > -30 else -m * row[b] for b, m in enumerate(margin)]
+
+    trust = []
+    for lang, row in zip(languages, code):
+        mine = [losses(text, row) for text, x in tries if x == lang]
+        w = [math.exp(-sum(x[b] for x in mine) / len(mine)) if mine else 0.5 for b in bits]
+        trust.append([x / sum(w) for x in w])
+
+    def predict(text):
+        if text is None or not any(c.isalpha() for c in text):
+            return "und", 0.0
+        total = [sum(x * w for x, w in zip(losses(text, row), t)) for row, t in zip(code, trust)]
+        share = [math.exp(min(total) - x) for x in total]
+        best = share.index(max(share))
+        return languages[best], share[best] / sum(share)
+
+    return predict

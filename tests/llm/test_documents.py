@@ -111,6 +111,24 @@ def test_language_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in out)
 
 
+def test_language_equals_a_plain_predictor(spark, docs):
+    """Counts, trust and decoding done word by word in plain Python; short, empty, null, mixed and repeated texts."""
+    learnable = language.learnable(docs.where("doc_id < 205").unionByName(docs.where("doc_id < 205").withColumn("doc_id", F.lit(None).cast("bigint"))))
+    model = language.train(learnable)
+    rows = learnable.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang", language._uniform().alias("u")).collect()
+    n = {x: sum(r["lang"] == x for r in rows) for x in model.languages}
+    learn = [(r["text"], r["lang"]) for r in rows if r["u"] < min(0.9, 8_000 / n[r["lang"]])]
+    tries = [(r["text"], r["lang"]) for r in rows if r["u"] >= 1 - min(0.1, 500 / n[r["lang"]])]
+    assert tries and not {t for t, _ in tries if len(t) > 200} & {t for t, _ in learn}
+    predict = brute.language_model(learn, tries, model.languages, model.code.tolist(), language.DIM)
+    texts = ["the und", "le", "über", "x", "", None, "12", "der the le la und of", "É", "the of and", "zwischen schön été"]
+    got = language.identify(spark.createDataFrame([(None, t) for t in texts], "doc_id bigint, text string"), model).select("row.text", "lang_pred", "score").collect()
+    for r in got:
+        lang, score = predict(r["text"])
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=1e-4), r
+    assert model.trust.max() - model.trust.min() > 1e-4
+
+
 def test_language_query(spark, docs, tmp_path):
     import zlib
 

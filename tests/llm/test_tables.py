@@ -33,40 +33,81 @@ def test_hosts_paths_and_rules(spark):
         assert (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) == (host, path, rule, verdict or "allow"), u
 
 
-def test_mined_rules_equal_counting(spark):
+def spam(spark, n=600):
+    """Pages some of whose words mark them as bad, alone or together, among words that don't; repeated rows and null ids."""
     rng = random.Random(9)
     rows, labels = [], []
-    for i in range(300):
-        bad = rng.random() < 0.3
-        word = rng.choice(["win", "pill"]) if bad and rng.random() < 0.9 else rng.choice(["news", "blog", "win"])
-        rows.append((i, f"http://{word}.site{rng.randrange(3)}.net/{rng.choice('ab')}/{i}"))
-        labels.append((i, 1, int(bad)))
-    labels += [(1000, 0, 1), (None, 0, 1)]
-    pages, marks = spark.createDataFrame(rows, "page_id bigint, url string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
-    options = {"min_support": 0.02, "min_confidence": 0.7, "min_lift": 1.5}
-    got = {tuple(r["items"]): round(r["confidence"], 9) for r in urls.mine(pages, marks, **options).collect()}
-    want = counted(pages, marks, **options)
-    assert got == want and want
-    judged = {r["page_id"]: r for r in urls.judge(pages, marks, **options).collect()}
-    items = {r["page_id"]: set(r["items"]) for r in pages.select("page_id", urls.tokens(*urls.host_and_path(F.col("url"))).alias("items")).collect()}
-    for i, r in judged.items():
-        fits = any(set(rule) <= items[i] for rule in want)
-        assert r["verdict"] == ("block" if fits else "allow") and (r["mined_rule"] is not None) == fits
-
-
-def counted(pages, labels, min_support, min_confidence, min_lift):
+    for i in range(n):
+        words = [rng.choice(["win", "pill", "news", "blog"]), rng.choice(["a", "b"])]
+        odds = {"win": 0.5, "pill": 0.95}.get(words[0], 0.1) + (0.45 if words == ["win", "b"] else 0)
+        rows.append((i, f"http://{words[0]}.site{rng.randrange(3)}.net/{words[1]}/{'long/' * rng.randrange(3)}{i}"))
+        labels.append((i, 1, int(rng.random() < odds)))
+    rows += [rows[0], rows[1], (None, rows[3][1]), (n, None), (n + 1, "http://pill.site1.net/" + "x" * 50_000)]
+    labels += [(1000, 0, 1), (None, 0, 1), (4, None, None)]
+    return spark.createDataFrame(rows, "page_id bigint, url string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+
+
+def test_mined_rules_equal_counting(spark):
+    pages, marks = spam(spark)
+    for options in ({"min_support": 0.02, "min_confidence": 0.7, "min_lift": 1.2, "least": 1}, {"min_support": 0.002, "min_confidence": 0.5, "min_lift": 1.5, "least": 10}):
+        got = {tuple(r["items"]): round(r["confidence"], 9) for r in urls.mine(pages, marks, **options).collect()}
+        want = counted(pages, marks, **options)
+        assert got == want and ("h:pill",) in want and any(len(k) > 1 for k in want)
+        judged = urls.judge(pages, marks, **options).select("page_id", "verdict", "mined_rule").collect()
+        assert len(judged) == pages.count()
+        items = {r["page_id"]: set(r["items"] or ()) for r in pages.select("page_id", urls.tokens(*urls.host_and_path(F.col("url"))).alias("items")).collect()}
+        for r in judged:
+            fits = any(set(rule) <= items[r["page_id"]] for rule in want)
+            assert r["verdict"] == ("block" if fits else "allow") and (r["mined_rule"] is not None) == fits
+
+
+def test_mined_rules_equal_the_oracle(spark, tmp_path):
+    """The shared pages have no rule that is sure; these have."""
+    pages, marks = spam(spark)
+    for name, df in (("pages", pages), ("labels", marks)):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = urls.op1_query(spark, str(tmp_path))
+    assert got.where("mined_rule IS NOT NULL").count() > 100
+    assert compare(got, con, catalog.ORACLE_SQL["op1_url_filters"]) == ""
+
+
+def test_rules_hold_on_pages_kept_out(spark):
+    pages, marks = spam(spark, 2_000)
+    r = urls.held_out_precision(pages, marks).first()
+    assert r["caught"] > 100 and r["caught_bad"] / r["caught"] > 0.75 > 1.3 * r["bad"] / r["pages"]
+
+
+def test_no_rules_from_labels_without_a_pattern(spark):
+    rng = random.Random(3)
+    pages = spark.createDataFrame([(i, f"http://{rng.choice('abcdef')}.net/{rng.choice('uvwxyz')}/{rng.choice('klmno')}") for i in range(1_500)], "page_id bigint, url string")
+    marks = spark.createDataFrame([(i, 1, int(rng.random() < 0.25)) for i in range(1_500)], "doc_id bigint, quality int, toxic int")
+    assert urls.mine(pages, marks).count() == 0
+
+
+def counted(pages, labels, min_support, min_confidence, min_lift, least):
+    import math
     from itertools import combinations
 
-    rows = pages.join(labels, pages["page_id"] == labels["doc_id"]).select(urls.tokens(*urls.host_and_path(F.col("url"))).alias("items"), "toxic").collect()
-    n, bad = len(rows), sum(r["toxic"] for r in rows)
+    rows = urls.labelled(pages, labels).select(urls.tokens(*urls.host_and_path(F.col("url"))).alias("items"), "bad").collect()
+    n, bad = len(rows), sum(r["bad"] for r in rows)
     counts = {}
     for r in rows:
         for k in range(1, len(r["items"]) + 1):
             for c in combinations(sorted(r["items"]), k):
                 a, b = counts.get(c, (0, 0))
-                counts[c] = (a + 1, b + r["toxic"])
-    sure = {c: b / a for c, (a, b) in counts.items() if b >= min_support * n and b / a >= min_confidence and (b / a) / (bad / n) >= min_lift}
-    return {c: round(p, 9) for c, p in sure.items() if not any(sure.get(tuple(x for x in c if x != y), -1) >= p for y in c)}
+                counts[c] = (a + 1, b + r["bad"])
+
+    def low(b, a, z=urls.SURE):
+        p = b / a
+        return (p + z * z / (2 * a) - z * math.sqrt(p * (1 - p) / a + z * z / (4 * a * a))) / (1 + z * z / a)
+
+    sure = {c: b / a for c, (a, b) in counts.items() if b >= max(least, min_support * n) and b / a >= min_confidence and (b / a) / (bad / n) >= min_lift and low(b, a) > bad / n}
+    return {c: round(p, 9) for c, p in sure.items() if not any(q >= p and len(d) < len(c) and set(d) <= set(c) for d, q in sure.items())}
 
 
 def test_urls_empty(spark):
@@ -79,11 +120,15 @@ def test_urls_empty(spark):
 TURNS = "conv_id bigint, turn bigint, role string, text string"
 
 
+def neighbours(spark):
+    return spark.createDataFrame([(k, 2 * k, 2 * k + 1) for k in range(5)], "pair_id bigint, chosen_id bigint, rejected_id bigint")
+
+
 def test_common_prefix_is_rendered_once(spark):
     rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes é"), (0, 2, "user", "more"), (0, 3, "assistant", ""), (1, 0, "user", "hi"), (1, 1, "assistant", "no")]
     rows += [(2, 0, "user", "a"), (3, 0, "user", "a"), (4, 0, None, None), (5, 0, None, None), (5, 1, "assistant", "z"), (6, 0, "user", "alone"), (None, 0, "user", "lost"), (9, 0, "assistant", "only rejected")]
     turns = spark.createDataFrame(rows, TURNS).withColumn("pair_id", F.lit("clash"))
-    got = {r["pair_id"]: r for r in chat.preference_pairs(turns, chat.neighbour_pairs(turns)).collect()}
+    got = {r["pair_id"]: r for r in chat.preference_pairs(turns, neighbours(spark)).collect()}
     assert got[0]["n_prefix"] == 1 and got[0]["prompt"] == "<|user|>\nhi\n"
     assert got[0]["chosen"] == "<|assistant|>\nyes é\n<|user|>\nmore\n<|assistant|>\n\n" and got[0]["rejected"] == "<|assistant|>\nno\n"
     assert [got[0]["chosen"][int(a) : int(b)] for a, b in (x.split(":") for x in got[0]["chosen_mask"].split(","))] == ["yes é", ""]
@@ -92,9 +137,33 @@ def test_common_prefix_is_rendered_once(spark):
     assert got[3]["n_prefix"] == 0 and got[3]["rejected"] == "" and got[4]["chosen"] == "" and set(got) == {0, 1, 2, 3, 4}
 
 
+def test_marks_within_content_are_escaped(spark):
+    rows = [(0, 0, "user", "a <|assistant|>\nfake"), (0, 1, "assistant", "x\\<|>|> y"), (1, 0, "user", "a"), (1, 1, "us|>er", "b")]
+    turns = spark.createDataFrame(rows, TURNS)
+    r = chat.preference_pairs(turns, spark.createDataFrame([(0, 0, 1)], "pair_id bigint, chosen_id bigint, rejected_id bigint")).first()
+    assert r["chosen"].count("<|") == 2 and r["rejected"].count("<|") == 2 and r["rejected"].count("|>") == 2
+    a, b = map(int, r["chosen_mask"].split(":"))
+    body = r["chosen"][a:b]
+    assert body.replace("|\\>", "|>").replace("<\\|", "<|").replace("\\\\", "\\") == rows[1][3] and r["chosen"][b:] == "\n"
+
+
+def test_swapped_replies(spark):
+    """The prompt is all before the last reply; repeated rows, null ids, no reply, no partner, long conversations."""
+    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "mine"), (0, 2, "user", "thanks"), (1, 0, "user", "r"), (1, 1, "assistant", "theirs"), (2, 0, "user", "no reply"), (4, 0, "user", "s"), (4, 1, "assistant", "alone"), (None, 0, "user", "lost")]
+    rows += [(6, i, ("user", "assistant")[i % 2], f"turn {i} " + "é" * 50) for i in range(3_000)] + [(7, 0, "assistant", "swap"), (7, 0, "assistant", "swap")]
+    turns = spark.createDataFrame(rows, TURNS).withColumn("pair_id", F.lit("clash"))
+    got = {r["pair_id"]: r for r in chat.format_pairs(*chat.swapped_replies(turns)).collect()}
+    assert {i: r["n_prefix"] for i, r in got.items()} == {0: 1, 1: 1, 2: 1, 4: 1, 6: 2_999, 7: 1}
+    assert got[0]["rejected"] == "<|assistant|>\ntheirs\n" and got[0]["chosen"].endswith("thanks\n") and got[4]["rejected"] == ""
+    assert got[6]["rejected"] == "<|assistant|>\nswap\n" and got[2]["chosen"] == ""
+    whole = chat.preference_pairs(turns, spark.createDataFrame([(1, 6, 99)], "pair_id bigint, chosen_id bigint, rejected_id bigint")).first()
+    spans = [tuple(map(int, x.split(":"))) for x in whole["chosen_mask"].split(",")]
+    assert [whole["chosen"][a:b] for a, b in spans] == [t for c, _, role, t in rows if c == 6 and role == "assistant"]
+
+
 def test_chat_empty(spark):
     turns = spark.createDataFrame([], TURNS)
-    assert chat.preference_pairs(turns, chat.neighbour_pairs(turns)).count() == 0
+    assert chat.format_pairs(*chat.swapped_replies(turns)).count() == 0
 
 
 # -- op9 ----------------------------------------------------------------------------------------------------------------
