@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -14,6 +17,8 @@ from .shared import hash_key, ranked, staged, text_or_empty, workers_can_import
 
 CAPACITY = 4096
 END = 1
+#: Steps that bin completion may take before it keeps the best packing so far.
+EFFORT = 60_000
 #: Words of a generation whose ids a Python worker remembers; bounds its memory.
 REMEMBER = 600_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -21,6 +26,8 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _loaded: dict[str, object] = {}
 _known: dict[str, Memory] = {}
 _ends: dict[str, np.ndarray] = {}
+_wordwise: dict[str, bool] = {}
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def _tokenizer(path: str):
@@ -118,13 +125,28 @@ def _encode(path: str, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
             yield w, np.array(e.ids, "<u4").tobytes()
 
 
+def _by_words(path: str) -> bool:
+    """Does this tokenizer fold case, drop white space and part what it separates, as ``token_ids`` takes for granted of words?"""
+    if path not in _wordwise:
+        told = json.loads(_tokenizer(path).to_str())
+        folds = told.get("normalizer") == {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+        parts = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        split = bool(parts) and parts[0].get("type") == "Split" and parts[0].get("pattern") == {"Regex": _WORDS} and parts[0].get("behavior") == "Removed" and parts[0].get("invert") is True
+        _wordwise[path] = folds and split and told["model"].get("end_of_word_suffix") == "</w>" and told.get("post_processor") is None
+    return _wordwise[path]
+
+
 def token_ids(texts: list[bytes], path: str) -> Iterator[bytes]:
     """Each UTF-8 text's ids, little-endian 32-bit, without the closing one.
 
-    The tokenizer lower-cases and never joins across white space, so a word's ids don't
-    depend on its neighbours or on the case of A-Z, and are worked out once for each word that
-    recurs. A text that could hold the name of a special token, which does depend on case, is left as it is.
+    A tokenizer that lower-cases and never joins across white space (``_by_words``) gives a word ids that don't
+    depend on its neighbours or on the case of A-Z; they are worked out once for each word that
+    recurs. A text that could hold the name of a special token, which does depend on case, is left as it is. Any other tokenizer reads whole texts.
     """
+    if not _by_words(path):
+        for text in texts:
+            yield np.array(_tokenizer(path).encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return
     split = [(t if b"<|" in t else t.translate(_LOWER)).replace(b"\n", b" ").split(b" ") for t in texts]
     words = set().union(*split)
     known = _memory(path).learn(words, lambda new: _encode(path, new))
@@ -177,96 +199,212 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     return rows.mapInArrow(_pieces(tokenizer or default_tokenizer(), capacity, with_ids), schema)
 
 
-def complete(room: int, lengths: list[int], counts: list[int], most_nodes: int = 4000) -> list[tuple[int, int]]:
-    """The filling of ``room`` with the least waste: ``(length, how many)``, from lengths in falling order.
+Filling = tuple[tuple[int, int], ...]
+Bins = list[tuple[int, list[tuple[int, int]]]]
+
 
-    Depth first over falling lengths, fullest first, so the first leaf is the best-fit filling
-    and the incumbent. A branch is cut when all that may still fit can't beat the incumbent's
-    waste; a filling is passed over when it is dominated, that is, when an unused length would
-    replace a smaller used one within the waste left. The search ends at no waste or after
-    ``most_nodes`` nodes.
+def fillings(room: int, lengths: list[int], counts: list[int], most_waste: int, most_steps: int) -> tuple[list[tuple[int, Filling]], int, bool]:
+    """The undominated fillings of ``room`` that waste no more than ``most_waste``: ``(waste, ((length, how many), ...))``, least waste and then largest lengths first.
+
+    A filling is dominated if a spare length fits into what it wastes, or could take the place of a smaller one in
+    it: whatever a packing does with the dominated one, it can do with the other. Also says how many steps were taken and whether all fillings were
+    seen; a branch is cut when all that may still fit leaves too much waste.
     """
     n = len(lengths)
     left = [0] * (n + 1)
     for i in range(n - 1, -1, -1):
         left[i] = left[i + 1] + lengths[i] * counts[i]
-    best: list[tuple[int, int]] = []
-    waste, nodes = room, 0
-    # a stack of (next index, room left, filling); the entry popped first is the one that takes most
-    stack: list[tuple[int, int, tuple]] = [(0, room, ())]
-    while stack and waste and nodes < most_nodes:
+    found, steps = [], 0
+    # the entry popped first is the one that takes most of the largest length
+    stack: list[tuple[int, int, Filling]] = [(0, room, ())]
+    while stack and steps < most_steps:
         i, free, filling = stack.pop()
-        nodes += 1
+        steps += 1
         while i < n and (lengths[i] > free or not counts[i]):
             i += 1
-        if i == n or free == 0:
-            if free < waste and not _dominated(free, filling, lengths, counts):
-                best, waste = list(filling), free
+        if free - left[i] > most_waste:
             continue
-        if free - left[i] >= waste:
+        if i == n:
+            if not _dominated(free, filling, lengths, counts):
+                found.append((free, filling))
             continue
         take = min(counts[i], free // lengths[i])
         stack.extend((i + 1, free - k * lengths[i], (*filling, (lengths[i], k)) if k else filling) for k in range(take + 1))
-    return best
+    return sorted(found, key=_order), steps, not stack
+
 
+def _order(filling: tuple[int, Filling]) -> tuple:
+    return filling[0], [(-x, -k) for x, k in filling[1]]
 
-def _dominated(free: int, filling: tuple, lengths: list[int], counts: list[int]) -> bool:
+
+def _dominated(free: int, filling: Filling, lengths: list[int], counts: list[int]) -> bool:
     if not free:
         return False
     used = dict(filling)
     spare = [x for x, c in zip(lengths, counts, strict=True) if c > used.get(x, 0)]
-    return any(y < x <= y + free for y in used for x in spare)
+    return any(x <= free for x in spare) or any(y < x <= y + free for y in used for x in spare)
+
+
+def best_fit(histogram: dict[int, int], capacity: int) -> Bins:
+    """Best-fit decreasing: each length, longest first, goes to the fullest bin that has room for it.
+
+    Bins alike are placed together. A bin that takes a length is the fullest with room for the next of that length
+    while it has any, so it takes as many as fit; the work depends on the kinds of bins, not on the number of pieces.
+    """
+    rooms: list[int] = []  # in order
+    kinds: dict[int, list[tuple[int, tuple]]] = {}  # room: (how many bins, contents as a chain)
+
+    def put(room: int, times: int, contents: tuple) -> None:
+        if room not in kinds:
+            bisect.insort(rooms, room)
+            kinds[room] = []
+        kinds[room].append((times, contents))
+
+    for x in sorted(histogram, reverse=True):
+        c = histogram[x]
+        while c:
+            at = bisect.bisect_left(rooms, x)
+            if at == len(rooms):
+                put(capacity, -(-c // (capacity // x)), ())
+                continue
+            room = rooms[at]
+            times, contents = kinds[room].pop()
+            if not kinds[room]:
+                del kinds[room]
+                rooms.pop(at)
+            each = room // x
+            full = min(times, c // each)
+            rest = c - full * each if full < times else 0
+            if full:
+                put(room - full // full * each * x, full, (contents, x, each))
+            if rest:
+                put(room - min(rest, each) * x, 1, (contents, x, min(rest, each)))
+            if times - full - bool(rest):
+                put(room, times - full - bool(rest), contents)
+            c -= full * each + (min(rest, each) if rest else 0)
+    out = []
+    for same in kinds.values():
+        for times, contents in same:
+            filling = []
+            while contents:
+                contents, x, k = contents
+                filling.append((x, k))
+            if filling:
+                out.append((times, filling[::-1]))
+    return out
+
+
+def least_bins(histogram: dict[int, int], capacity: int) -> int:
+    """Martello and Toth's bound L2: pieces too long to share a bin each have one, the short ones fill what those leave and then bins of their own."""
+    n = np.zeros(capacity + 2, np.int64)
+    for x, c in histogram.items():
+        n[x] = c
+    size = n * np.arange(capacity + 2)
+    number, total = np.concatenate(([0], np.cumsum(n))), np.concatenate(([0], np.cumsum(size)))
+    half, best = capacity // 2 + 1, -(-int(total[-1]) // capacity)
+    for a in range(capacity // 2 + 1):
+        large = int(number[-1] - number[capacity - a + 1])
+        middle = int(number[max(capacity - a + 1, half)] - number[half])
+        middle_size = int(total[max(capacity - a + 1, half)] - total[half])
+        small = int(total[half] - total[min(a, half)])
+        best = max(best, large + middle + max(0, -(-(small - (middle * capacity - middle_size)) // capacity)))
+    return best
 
 
-def pack_lengths(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
+def pack_lengths(histogram: dict[int, int], capacity: int = CAPACITY, effort: int = EFFORT) -> Bins:
     """Bins as ``(how many alike, [(length, how many in each)])`` for a histogram of lengths.
 
-    Bin completion: the largest length left opens a bin, ``complete`` fills it, and the bin is
-    used as often as the counts allow, which uses up a length each time. So the work and
-    the result depend on the capacity, not on the number of documents: no more than
-    2 x capacity kinds of bins. Best-fit decreasing is the incumbent and is
-    returned if completion needs more bins; the sum of lengths is the lower bound.
+    Bin completion. Best-fit decreasing is the incumbent, ``least_bins`` the bound. While the two differ, a packing of a number of bins between them is
+    sought, the bound first: the longest length left opens a bin, each undominated filling of the rest is tried, and a branch ends when the waste so far
+    is more than that many bins can hold. Bins alike are placed together, as many as there can be and then fewer, so the work depends on
+    the lengths, not on the number of documents. What is found becomes the incumbent.
+
+    Ends with an optimal packing when the bound is met or all has been tried; else after ``effort`` steps, with the incumbent.
     """
     counts = {x: c for x, c in histogram.items() if c > 0}
-    bound = -(-sum(x * c for x, c in counts.items()) // capacity)
-    found: list[tuple[int, list[tuple[int, int]]]] = []
-    for nodes in (1, 200, 4000):
-        bins = _fill(dict(counts), capacity, nodes)
-        if not found or sum(m for m, _ in bins) < sum(m for m, _ in found):
-            found = bins
-        if sum(m for m, _ in found) <= bound:
-            break
+    found, least, total = best_fit(counts, capacity), least_bins(counts, capacity), sum(x * c for x, c in counts.items())
+    most, target = sum(m for m, _ in found), least
+    while least < most and effort > 0:
+        share = effort if target == most - 1 else effort // 2
+        better, unused = _complete(counts, capacity, target * capacity - total, share)
+        effort -= share - max(unused, 0)
+        if better is None:
+            least = target + 1
+        else:
+            found, most = better, sum(m for m, _ in better)
+        target = (least + most - 1) // 2
     return found
 
 
-def _fill(counts: dict[int, int], capacity: int, nodes: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    bins = []
-    order = sorted(counts, reverse=True)
-    while order:
-        top = order[0]
-        counts[top] -= 1
-        room = capacity - top
-        usable = [x for x in order if x <= room and counts[x]]
-        # nodes == 1 is plain best fit: the fullest choice at each length in turn
-        filling = _best_fit(room, usable, counts) if nodes == 1 else complete(room, usable, [counts[x] for x in usable], nodes) or _best_fit(room, usable, counts)
-        counts[top] += 1
-        need = dict(filling)
-        need[top] = need.get(top, 0) + 1
-        times = min(counts[x] // k for x, k in need.items())
-        for x, k in need.items():
-            counts[x] -= times * k
-        bins.append((times, sorted(need.items(), reverse=True)))
-        order = [x for x in order if counts[x]]
-    return bins
-
-
-def _best_fit(room: int, usable: list[int], counts: dict[int, int]) -> list[tuple[int, int]]:
-    out = []
-    for x in usable:
-        if k := min(counts[x], room // x):
-            out.append((x, k))
-            room -= k * x
-    return out
+def _times(open_bins: list[tuple], phase: int) -> Iterator[tuple]:
+    for free, need, order, most in open_bins:
+        halves = [most >> i for i in range(1, most.bit_length())]
+        for t in [most][:most] if phase == 0 else halves if phase == 1 else (t for t in range(most - 1, 0, -1) if t not in halves):
+            yield free, need, order, t
+
+
+def _complete(counts: dict[int, int], capacity: int, waste: int, effort: int) -> tuple[Bins | None, int]:
+    """A packing that wastes no more than ``waste``, or None; and the effort left.
+
+    Depth first, in passes that may leave the choice that looks best once, three times, seven times and so on: so what is tried early
+    in a packing is not stuck behind all that could follow it. A pass that no limit cut has tried everything.
+    """
+    deviations = 0
+    while effort > 0:
+        left, path, cut = dict(counts), [], False
+        lengths = sorted(left, reverse=True)
+
+        def options(waste: int, may: int, after: tuple | None):
+            """``(times, filling, waste left, deviations left, order)`` of the bins that the longest length left may open."""
+            nonlocal effort, cut
+            live = [x for x in lengths if left[x]]
+            top = live[0]
+            left[top] -= 1
+            usable = [x for x in live if x <= capacity - top and left[x]]
+            every, steps, whole = fillings(capacity - top, usable, [left[x] for x in usable], waste, min(2_000, effort))
+            left[top] += 1
+            # what a node costs besides its steps: going through the lengths
+            effort, cut = effort - steps - 1 - len(live) // 16, cut or not whole
+            open_bins = []
+            for free, filling in every:
+                order = (top, _order((free, filling)))
+                # bins that share their longest length stand in one order, so that no packing is met twice
+                if after and after[0] == top and order[1] <= after[1]:
+                    continue
+                need = dict(filling)
+                need[top] = need.get(top, 0) + 1
+                times = min(left[x] // k for x, k in need.items())
+                open_bins.append((free, need, order, min(times, waste // free) if free else times))
+            tried = 0
+            # each filling as often as can be, then half as often, a quarter and so on, then any other number of times
+            for free, need, order, t in itertools.chain(*(_times(open_bins, phase) for phase in range(3))):
+                if tried and not may:
+                    cut = True
+                    return
+                yield t, need, waste - t * free, may - bool(tried), order
+                tried += 1
+
+        stack = [options(waste, deviations, None)]
+        while stack and effort > 0:
+            step = next(stack[-1], None)
+            if step is None:
+                stack.pop()
+                if path:
+                    t, need = path.pop()
+                    for x, k in need.items():
+                        left[x] += t * k
+                continue
+            t, need, rest, may, order = step
+            for x, k in need.items():
+                left[x] -= t * k
+            path.append((t, need))
+            if not any(left.values()):
+                return [(t, sorted(need.items(), reverse=True)) for t, need in path], effort
+            stack.append(options(rest, may, order))
+        if not cut and effort > 0:
+            return None, effort
+        deviations = 2 * deviations + 1
+    return None, effort
 
 
 def _slots(bins) -> dict[str, np.ndarray]:

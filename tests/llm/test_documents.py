@@ -216,7 +216,7 @@ def test_bin_completion_is_near_the_bound(seed):
 
 
 def least_bins(histogram, capacity):
-    """Martello and Toth's bound L2."""
+    """Martello and Toth's bound L2, item by item."""
     items = [x for x, c in histogram.items() for _ in range(c)]
     best = 0
     for a in range(capacity // 2 + 1):
@@ -226,9 +226,79 @@ def least_bins(histogram, capacity):
     return best
 
 
-def test_completion_beats_best_fit():
-    assert packing.complete(10, [7, 6, 4, 3], [1, 1, 1, 1]) in ([(7, 1), (3, 1)], [(6, 1), (4, 1)])
-    assert packing.complete(5, [3, 3], [0, 1]) == [(3, 1)]
+def histogram_of(items):
+    return {x: items.count(x) for x in items}
+
+
+def best_fit_decreasing(items, capacity):
+    bins = []
+    for x in sorted(items, reverse=True):
+        room = [i for i, r in enumerate(bins) if r >= x]
+        if room:
+            bins[min(room, key=bins.__getitem__)] -= x
+        else:
+            bins.append(capacity - x)
+    return len(bins)
+
+
+def optimal(items, capacity):
+    """The fewest bins, by the best (bins, room used in the last) of every subset."""
+    best = {0: (1, 0)}
+    for subset in range(1 << len(items)):
+        bins, used = best[subset]
+        for i, x in enumerate(items):
+            if not subset >> i & 1:
+                new = (bins, used + x) if used + x <= capacity else (bins + 1, x)
+                key = subset | 1 << i
+                best[key] = min(best.get(key, new), new)
+    return best[(1 << len(items)) - 1][0]
+
+
+def test_packings_are_optimal_and_parts_right():
+    rng, better = random.Random(1), 0
+    for _ in range(120):
+        capacity = rng.choice((20, 50, 100))
+        items = [rng.randint(capacity // 8, capacity * 2 // 3) for _ in range(rng.randint(1, 11))]
+        h, least = histogram_of(items), optimal(items, capacity)
+        greedy = sum(m for m, _ in packing.best_fit(h, capacity))
+        assert greedy == best_fit_decreasing(items, capacity)
+        assert packing.least_bins(h, capacity) == least_bins(h, capacity) <= least
+        bins = packing.pack_lengths(h, capacity)
+        assert sum(m for m, _ in bins) == least
+        assert sorted(x for m, f in bins for x, k in f for _ in range(m * k)) == sorted(items) and all(sum(x * k for x, k in f) <= capacity for _, f in bins)
+        better += greedy > least
+    assert better > 0
+
+
+@pytest.mark.parametrize("n", (1, 10, 10**9))
+def test_hot_lengths_pack_as_few_do(n):
+    """{60, 25, 15} and {40, 40, 20} leave nothing; taking 40 with 60 first does not cost more as the counts grow."""
+    assert sum(m for m, _ in packing.pack_lengths({60: n, 40: 2 * n, 25: n, 20: n, 15: n}, 100)) == 2 * n
+
+
+def test_effort_bounds_the_search():
+    rng = random.Random(3)
+    h = histogram_of([rng.randint(1_100, 1_700) for _ in range(3_000)])
+    bins = packing.pack_lengths(h, 4096, effort=500)
+    assert least_bins(h, 4096) <= sum(m for m, _ in bins) <= sum(m for m, _ in packing.best_fit(h, 4096))
+
+
+def test_fillings_are_those_not_dominated():
+    every, _, whole = packing.fillings(10, [7, 6, 4, 3], [1, 1, 1, 1], 10, 1_000)
+    assert whole and [f for _, f in every] == [((7, 1), (3, 1)), ((6, 1), (4, 1))]
+    assert packing.fillings(5, [3], [1], 5, 100)[0] == [(2, ((3, 1),))]
+
+
+def test_other_tokenizers_read_whole_texts(spark):
+    """A tokenizer that keeps white space and case: no word is taken for itself."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model = Tokenizer.from_file(path)
+    texts = ["Two  words", "two words", "", " é\n\tx", None]
+    rows = packing.token_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), path).collect()
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == sorted((i, *p) for i, t in enumerate(texts) for p in brute.pieces(t, lambda t: model.encode(t, add_special_tokens=False).ids))
 
 
 # -- op5 ----------------------------------------------------------------------------------------------------------------
