@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import prefix_sums
+from .shared import let, prefix_scan
 
 #: The rendering of a turn; what lies between the marks of an assistant's turn is trained on.
 HEAD, TAIL = "<|{}|>\n", "\n"
@@ -55,7 +55,7 @@ def format_pairs(pairs: DataFrame, chosen: DataFrame, rejected: DataFrame) -> Da
     rest = lambda c: F.slice(c, F.col("n_prefix") + 1, F.greatest(F.size(c) - F.col("n_prefix"), F.lit(0)))
     shown = both.select("pair_id", "n_prefix", _rendered(F.slice("c", F.lit(1), F.col("n_prefix"))).alias("p"), _rendered(rest(F.col("c"))).alias("c"), _rendered(rest(F.col("r"))).alias("r"))
     whole = lambda c: F.array_join(F.transform(c, lambda t: F.concat(t["head"], t["body"], F.lit(TAIL))), "")
-    return shown.select("pair_id", "n_prefix", whole("p").alias("prompt"), whole("c").alias("chosen"), whole("r").alias("rejected"), _mask(F.col("c")).alias("chosen_mask"), _mask(F.col("r")).alias("rejected_mask"))
+    return shown.select("pair_id", "n_prefix", whole("p").alias("prompt"), whole("c").alias("chosen"), whole("r").alias("rejected"), _mask("c").alias("chosen_mask"), _mask("r").alias("rejected_mask"))
 
 
 def _rendered(turns):
@@ -63,10 +63,10 @@ def _rendered(turns):
     return F.transform(turns, lambda t: F.struct(F.concat(F.lit(before), escaped(t["role"]), F.lit(after)).alias("head"), escaped(t["text"]).alias("body"), F.coalesce(t["role"] == "assistant", F.lit(False)).alias("ours")))
 
 
-def _mask(turns):
-    starts = prefix_sums(F.transform(turns, lambda t: (F.length(t["head"]) + F.length(t["body"]) + len(TAIL)).cast("bigint")))
-    spans = F.zip_with(turns, starts, lambda t, at: F.when(t["ours"], F.concat_ws(":", at + F.length(t["head"]), at + F.length(t["head"]) + F.length(t["body"]))))
-    return F.array_join(spans, ",")
+def _mask(turns: str):
+    starts = prefix_scan(f"transform({turns}, _t -> length(_t.head) + length(_t.body) + {len(TAIL)})")
+    span = "CASE WHEN _t.ours THEN concat_ws(':', _at + length(_t.head), _at + length(_t.head) + length(_t.body)) END"
+    return F.expr(let(starts, "_starts", f"array_join(zip_with({turns}, _starts, (_t, _at) -> {span}), ',')"))
 
 
 def swapped_replies(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

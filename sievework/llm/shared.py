@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.session import Staged, delete_path, scratch_root, staged, workers_can_import
 
-__all__ = ["Staged", "components", "delete_path", "hash_key", "let", "lower_ascii", "prefix_sums", "ranked", "scratch_root", "staged", "text_or_empty", "workers_can_import"]
+__all__ = ["Staged", "components", "delete_path", "hash_key", "let", "lower_ascii", "prefix_scan", "ranked", "scratch_root", "staged", "text_or_empty", "workers_can_import"]
 
 
 def text_or_empty(column: str | Column) -> Column:
@@ -20,29 +20,26 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, upper, upper.lower())
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` worked out once a row, however often ``body`` uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def let(value: str, name: str, body: str) -> str:
+    """SQL text: ``body``, in which ``name`` is ``value``, worked out once a row however often it is used."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def prefix_sums(lengths: Column, block: int = 256) -> Column:
-    """For each element of an array of numbers, the sum of those before it.
+def prefix_scan(values: str, merge: str = "({0} + {1})", block: int = 256) -> str:
+    """SQL text: for each element of an array of numbers, ``merge`` of all before it, 0 for the first; ``merge`` is associative and 0 neutral.
 
-    A fold that appends copies what it has at each step; folding blocks of ``block`` elements, and their sums, keeps that from
-    growing with the square of the array.
+    A fold that appends copies what it has at each step; folding blocks of ``block`` elements, and their totals, keeps that from
+    growing with the square of the array. It is text, as long expressions are built many times faster so than call by call.
     """
 
-    def running(numbers: Column, start: Column) -> Column:
-        zero = F.struct(start.cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
-        return F.aggregate(numbers, zero, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+    def running(numbers: str, start: str) -> str:
+        step = f"(_a, _x) -> struct({merge.format('_a.at', '_x')} AS at, concat(_a.out, array(_a.at)) AS out)"
+        return f"aggregate({numbers}, struct(CAST({start} AS BIGINT) AS at, CAST(array() AS ARRAY<BIGINT>) AS out), {step}, _a -> _a.out)"
 
-    def blocked(numbers: Column) -> Column:
-        last = F.floor((F.size(numbers) - 1) / block).cast("int")
-        blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(numbers, i * block + 1, block))
-        sums = lambda bs: F.transform(bs, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda a, x: a + x))
-        return let(blocks, lambda bs: F.flatten(F.zip_with(bs, running(sums(bs), F.lit(0)), running)))
-
-    return let(lengths, lambda n: F.when(F.size(n) > 0, blocked(n)).otherwise(F.array().cast("array<bigint>")))
+    totals = f"transform(_bs, _b -> aggregate(_b, 0L, (_a, _x) -> {merge.format('_a', '_x')}))"
+    folded = f"flatten(zip_with(_bs, {running(totals, '0')}, (_b, _s) -> {running('_b', '_s')}))"
+    blocks = f"transform(sequence(0, CAST(floor((size(_n) - 1) / {block}) AS INT)), _i -> slice(_n, _i * {block} + 1, {block}))"
+    return let(f"transform({values}, _v -> CAST(_v AS BIGINT))", "_n", f"CASE WHEN size(_n) > 0 THEN {let(blocks, '_bs', folded)} ELSE CAST(array() AS ARRAY<BIGINT>) END")
 
 
 def hash_key(*columns: str | Column) -> Column:

@@ -4,6 +4,7 @@ import brute
 import corpus_pipeline
 from pyspark.sql import functions as F
 from test_documents import check_places, corpus
+from test_near import leads
 
 from sievework.llm import language, mixing
 
@@ -21,8 +22,8 @@ def test_run(spark, tmp_path):
     for r in sorted(clear, key=lambda r: r["doc_id"]):
         last[(r["text"] or "").translate(brute.LOWER)] = r
     single = list(last.values())
-    component = brute.simhash_components([(r["doc_id"], r["text"]) for r in single])
-    kept = {r["doc_id"] for r in single if component[r["doc_id"]][1] == r["doc_id"]}
+    lead = leads([(r["doc_id"], r["text"]) for r in single])
+    kept = {r["doc_id"] for r in single if lead[r["doc_id"]] == r["doc_id"]}
     taken = {r["row"]["doc_id"]: r["copies"] for r in mixing.mix(docs.where(F.col("doc_id").isin(list(kept)))).collect()}
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {i: n for i, n in taken.items() if n} == {i: sum(1 for r in out if r["doc_id"] == i and r["piece"] == 0) for i in {r["doc_id"] for r in out}}
