@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def groups(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
-    """Each row's representative, the first by ``order`` of those with its ``key``: adds ``rep`` and ``members``."""
-    reps = rows.groupBy(key).agg(F.min_by(name, order).alias("rep"), F.count(F.lit(1)).alias("members"))
-    return rows.join(reps, key)
+    """Each row's representative, the first by ``order`` of those with its ``key``: adds ``rep`` and ``members``. Null is a key like any other."""
+    reps = rows.groupBy(F.col(key).alias("__key")).agg(F.min_by(name, order).alias("rep"), F.count(F.lit(1)).alias("members"))
+    return rows.join(reps, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
 
 
 def unique_keys(rows: DataFrame, key: str, name: str) -> DataFrame:
@@ -20,11 +20,13 @@ def unique_keys(rows: DataFrame, key: str, name: str) -> DataFrame:
 def fan_out(rows: DataFrame, key: str, order: str, name: str, apply) -> DataFrame:
     """Apply an expensive ``apply(representatives)`` once a group and give each member its representative's result.
 
-    ``apply`` takes the representatives' rows and returns ``(name, result)``.
+    ``apply`` takes the representatives' rows, one a group, and returns their ``key``, ``name`` and ``result``: a name alone need not tell groups apart.
     """
     grouped = groups(rows, key, order, name)
-    done = apply(grouped.where(F.col(name) == F.col("rep")).drop("rep", "members")).select(F.col(name).alias("rep"), "result")
-    return grouped.join(done, "rep").select(*rows.columns, "rep", "result")
+    reps = grouped.where(F.col(name).eqNullSafe(F.col("rep"))).drop("rep", "members").dropDuplicates([key, name])
+    done = apply(reps).select(F.col(key).alias("__key"), F.col(name).alias("__name"), "result")
+    joined = grouped.join(done, F.col(key).eqNullSafe(F.col("__key")) & F.col("rep").eqNullSafe(F.col("__name")))
+    return joined.select(*rows.columns, "rep", "result")
 
 
 def first_wins(*sources: DataFrame, key: list[str]) -> DataFrame:

@@ -383,7 +383,7 @@ def d_unique_keys(spark, d):
 
 @query("d_fan_out", f"{_FPS}, r AS (SELECT fp, min_by(stem, fid) AS rep FROM p GROUP BY fp) SELECT fid, p.fp, rep, length(o.code) AS result FROM p JOIN r ON r.fp = p.fp JOIN o ON o.stem = r.rep".replace("SELECT fid, p.fp", "SELECT p.fid, p.fp"))
 def d_fan_out(spark, d):
-    out = dedup.fan_out(_printed(spark, d), "fp", "fid", "stem", lambda reps: reps.select("stem", F.length("code").cast("bigint").alias("result")))
+    out = dedup.fan_out(_printed(spark, d), "fp", "fid", "stem", lambda reps: reps.select("fp", "stem", F.length("code").cast("bigint").alias("result")))
     return out.select("fid", "fp", "rep", "result")
 
 

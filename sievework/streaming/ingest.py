@@ -26,8 +26,13 @@ def watch(spark: SparkSession, folder: str, table: str, checkpoint: str, on_batc
     """A writer that takes ``<folder>/<binary_id>/**/*.c`` into ``table``, each function once, whatever is replayed."""
     files = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.c").schema("value string").load(folder)
     rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("code"))
-    parts = F.split("path", "/")
-    rows = rows.select(F.element_at(parts, -2).alias("binary_id"), F.regexp_replace(F.element_at(parts, -1), r"\.c$", "").alias("name"), "path", "code")
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    # by the path alone: the reader's addresses and the folder's may differ in their slashes
+    base = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toUri().getRawPath().rstrip("/")
+    below = F.substring_index(F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)", ""), "?", 1)
+    parts = F.split(F.substring(below, len(base) + 2, 1 << 30), "/")
+    rows = rows.select(F.element_at(parts, 1).alias("binary_id"), F.regexp_replace(F.element_at(parts, -1), r"\.c$", "").alias("name"), "path", "code")
 
     def each(batch: DataFrame, number: int) -> None:
         admit(batch, table)

@@ -140,3 +140,28 @@ def test_split_is_stable(spark):
     rows = spark.createDataFrame([("p", f"f{i}") for i in range(10)], "program_id string, name string")
     first, again = (sorted(map(tuple, experiments.split(rows, 0.3).collect())) for _ in range(2))
     assert first == again and sum(r[-1] == "val" for r in first) == 3
+
+
+def test_groups_keep_null_keys_and_equal_names(spark):
+    """Null is a group; two groups whose representatives share a name stay apart; a repeated row is one representative."""
+    from sievework.operators import dedup
+
+    rows = spark.createDataFrame([("x", 1, "f"), ("y", 2, "f"), (None, 3, "f"), (None, 4, "g"), ("x", 5, "h"), ("x", 1, "f")], "k string, o int, n string")
+    assert sorted((r["k"] or "", r["o"], r["rep"], r["members"]) for r in dedup.groups(rows, "k", "o", "n").collect()) == [("", 3, "f", 2), ("", 4, "f", 2), ("x", 1, "f", 3), ("x", 1, "f", 3), ("x", 5, "f", 3), ("y", 2, "f", 1)]
+    asked = []
+
+    def apply(reps):
+        asked.append(reps.count())
+        return reps.selectExpr("k", "n", "coalesce(k, 'null') AS result")
+
+    got = sorted((r["k"] or "", r["o"], r["result"]) for r in dedup.fan_out(rows, "k", "o", "n", apply).collect())
+    assert got == [("", 3, "null"), ("", 4, "null"), ("x", 1, "x"), ("x", 1, "x"), ("x", 5, "x"), ("y", 2, "y")] and asked == [3]
+
+
+def test_stream_names_binaries_by_the_first_folder(spark, tmp_path):
+    for path in ("in/alpha/one.c", "in/alpha/deep/two.c", "in/beta/in/three.c"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("int f(void) { return 1; }")
+    table = str(tmp_path / "table")
+    ingest.watch(spark, str(tmp_path / "in"), table, str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r["binary_id"], r["name"]) for r in spark.read.parquet(table).collect()) == [("alpha", "one"), ("alpha", "two"), ("beta", "three")]
