@@ -61,4 +61,3 @@ STOP_IDENTIFIERS = (
 SIMILARITY_WEIGHTS = {"structure": 0.35, "ast_shape": 0.15, "identifier_recovery": 0.30, "literal_recovery": 0.20}
 PAIR_WEIGHTS = {"identifier": 0.4, "judge": 0.6}
 HEADER_WEIGHTS = {"struct": 0.6, "judge": 0.4}
-KNOWN_PROVIDERS = ("local", "google")

@@ -93,3 +93,19 @@ def uncached(todo: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
 def eta(done: Column, total: Column, elapsed: Column) -> Column:
     """Seconds left at the pace so far; null before the first is done, 0 at the end."""
     return F.when(done <= 0, None).when(done >= total, 0.0).otherwise(elapsed / done * (total - done))
+
+
+def control(scores: DataFrame, group: str, case: str, score: str) -> DataFrame:
+    """A run's baseline, one row a group: ``n`` cases, those ``defined``, ``best_score`` (the mean of these, 0 without any) and ``per_case``."""
+    one = F.struct(F.col(case).alias("case"), F.round(score, 4).alias("score"))
+    return scores.groupBy(group).agg(
+        F.count(F.lit(1)).alias("n"), F.count(score).alias("defined"), F.round(F.coalesce(F.avg(score), F.lit(0.0)), 4).alias("best_score"),
+        F.sort_array(F.collect_list(one)).alias("per_case"),
+    )
+
+
+def before_after(scores: DataFrame, group: str) -> DataFrame:
+    """``n, base_mean, refined_mean, delta`` of ``scores(group, failed, base, refined)``, failed cases left out; means without a case are 0."""
+    mean = lambda c: F.coalesce(F.avg(F.when(~F.col("failed"), F.col(c))), F.lit(0.0))
+    per = scores.groupBy(group).agg(F.count_if(~F.col("failed")).alias("n"), mean("base").alias("base_mean"), mean("refined").alias("refined_mean"))
+    return per.withColumn("delta", F.col("refined_mean") - F.col("base_mean"))

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import codeparse, text
-from sievework.operators import callgraph, dedup, experiments, gate, graph, naming, resolve, similarity, stages
+from sievework.operators import callgraph, dedup, experiments, gate, graph, judging, naming, resolve, runs, similarity, stages
 from sievework.session import staged, workers_can_import
-from sievework.sources import state
+from sievework.sources import programs, state
 
 from . import views
 from .views import GRAPHS, for_oracle, on_spark, vertices_of
@@ -740,6 +740,69 @@ def t_naming(spark, d):
     return out.select("name", "code")
 
 
+# -- judges and whole runs --------------------------------------------------------------------------------------------
+
+#: Replies of a judge: fenced with all keys, without an overall, prose, an empty object, a broken one, an axis that is no number.
+_JUDGED = """SELECT event_id AS id, event_id % 10 AS a, event_id % 7 AS b, CASE event_id % 6
+  WHEN 0 THEN concat('Here it is:', chr(10), '```json', chr(10), '{"correctness": 0.', event_id % 10, ', "readability": 0.', event_id % 7, ', "naming": 1, "types": 0.5, "overall": 0.', event_id % 7, ', "critique": " fine "}', chr(10), '```')
+  WHEN 1 THEN concat('{"correctness": 0.', event_id % 10, ', "readability": 0.', event_id % 7, ', "naming": 1}')
+  WHEN 2 THEN 'I cannot rate this' WHEN 3 THEN '{}' WHEN 4 THEN '{"correctness": ' ELSE concat('{"correctness": "bad", "types": 0.', event_id % 10, ', "critique": "x"} done') END AS reply FROM {events}"""
+_JUDGE_OK = "id % 6 IN (0, 1, 5)"
+
+
+@query("e_judge", f"SELECT id, CAST(round(CASE id % 6 WHEN 0 THEN b / 10.0 WHEN 1 THEN (a / 10.0 + b / 10.0 + 1) / 4 WHEN 5 THEN a / 40.0 ELSE 0 END, 6) AS DOUBLE) AS score, CASE WHEN {_JUDGE_OK} THEN CAST(CASE WHEN id % 6 = 5 THEN 0 ELSE a / 10.0 END AS DOUBLE) END AS correctness, CASE WHEN {_JUDGE_OK} THEN CAST(CASE id % 6 WHEN 0 THEN 0.5 WHEN 1 THEN 0 ELSE a / 10.0 END AS DOUBLE) END AS types, CASE id % 6 WHEN 0 THEN 'fine' WHEN 1 THEN '' WHEN 5 THEN 'x' END AS critique, {_JUDGE_OK} AS usable FROM ({_JUDGED}) j")
+def e_judge(spark, d):
+    v = on_spark(spark, d, _JUDGED).select("id", judging.verdict(F.col("reply")).alias("v"))
+    return v.select("id", F.round("v.score", 6).alias("score"), "v.correctness", "v.types", "v.critique", (F.col("v.detail") == "").alias("usable"))
+
+
+_HEADERS = "SELECT DISTINCT conv_id AS program_id, conv_id % 11 = 0 AS failed, conv_id % 7 <> 0 AS parses, CASE WHEN conv_id % 3 <> 0 THEN CAST(0.5 AS DOUBLE) END AS judge FROM {conversations}"
+
+
+@query("e_header_score", f"WITH m AS ({ORACLE_SQL['s_best_match']}), s AS (SELECT program_id, count(*) AS structs, avg(recall) AS struct FROM m GROUP BY program_id), h AS ({_HEADERS}) SELECT h.program_id, CAST(coalesce(structs, 0) AS BIGINT) AS structs, CAST(round(coalesce(struct, 1.0), 4) AS DOUBLE) AS struct, CAST(round(CASE WHEN failed OR NOT parses THEN 0 WHEN judge IS NULL THEN coalesce(struct, 1.0) ELSE 0.6 * coalesce(struct, 1.0) + 0.4 * judge END, 4) AS DOUBLE) AS score FROM h LEFT JOIN s ON s.program_id = h.program_id WHERE failed OR coalesce(structs, 0) > 0")
+def e_header_score(spark, d):
+    turns = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("program_id"), F.concat(F.lit("t"), "turn").alias("name"), F.col("turn").alias("ord"), "role", _words("text").alias("fields"))
+    out = judging.header_control(judging.header_scores(on_spark(spark, d, _HEADERS), turns.where("role <> 'assistant'"), turns.where("role = 'assistant'")))
+    return out.select("program_id", "structs", F.round("struct", 4).alias("struct"), F.round("score", 4).alias("score"))
+
+
+@query("e_control", "SELECT l_suppkey AS g, count(*) AS n, count(CASE WHEN l_linenumber < 4 THEN 1 END) AS defined, CAST(round(coalesce(avg(CASE WHEN l_linenumber < 4 THEN CAST(l_discount AS DOUBLE) END), 0), 4) AS DOUBLE) AS best_score FROM lineitem GROUP BY l_suppkey")
+def e_control(spark, d):
+    scores = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("g"), F.concat_ws("/", "l_orderkey", "l_linenumber").alias("case"), F.when(F.col("l_linenumber") < 4, F.col("l_discount").cast("double")).alias("score"))
+    return experiments.control(scores, "g", "case", "score").select("g", "n", "defined", "best_score")
+
+
+@query("e_before_after", "SELECT l_returnflag AS g, count(*) FILTER (l_linenumber < 6) AS n, CAST(round(avg(CASE WHEN l_linenumber < 6 THEN l_discount END), 6) AS DOUBLE) AS base_mean, CAST(round(avg(CASE WHEN l_linenumber < 6 THEN l_tax END), 6) AS DOUBLE) AS refined_mean FROM lineitem GROUP BY l_returnflag")
+def e_before_after(spark, d):
+    scores = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_returnflag").alias("g"), (F.col("l_linenumber") >= 6).alias("failed"), F.col("l_discount").cast("double").alias("base"), F.col("l_tax").cast("double").alias("refined"))
+    return experiments.before_after(scores, "g").select("g", "n", F.round("base_mean", 6).alias("base_mean"), F.round("refined_mean", 6).alias("refined_mean"))
+
+
+@query("r_planned_order", "SELECT o_orderkey AS k, CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY CASE WHEN o_orderkey % 5 <> 0 THEN -o_orderkey END NULLS LAST, concat('f', o_orderkey)) AS INTEGER) AS turn FROM orders")
+def r_planned_order(spark, d):
+    rows = on_spark(spark, d, "SELECT concat('b', o_orderstatus) AS binary_id, concat('f', o_orderkey) AS name, o_orderstatus AS status, o_orderkey AS k FROM {orders}")
+    return runs.in_planned_order(rows, rows.where("k % 5 <> 0").select("binary_id", "name", (-F.col("k")).alias("pos"))).select("k", "turn")
+
+
+@query("g_dry_run", with_graph("dag", f"{_LEVELS}, w AS (SELECT name, level, length(name) AS score FROM levels WHERE name NOT LIKE 'p%' AND name NOT LIKE 'n%'), z AS (SELECT level, count(*) AS n FROM w GROUP BY level) SELECT (SELECT count(*) FROM v) AS functions, (SELECT count(*) FROM v WHERE name LIKE 'n%') AS done, (SELECT count(*) FROM v WHERE name LIKE 'p%') AS filtered, (SELECT count(*) FROM w) AS todo, (SELECT CAST(count(*) AS INTEGER) FROM z) AS levels, (SELECT CAST(sum(ceil(n / 8.0)) AS BIGINT) FROM z) AS rounds, (SELECT string_agg(n, ',' ORDER BY level) FROM z) AS sizes, (SELECT string_agg(name, ',' ORDER BY score DESC, name) FROM (SELECT * FROM w ORDER BY score DESC, name LIMIT 8) t) AS first"))
+def g_dry_run(spark, d):
+    vertices, edges = load(spark, d, "dag")
+    functions = vertices.select("binary_id", "name", F.length("name").alias("score"), (~F.col("name").like("p%")).alias("worth"))
+    out = runs.dry_run(functions, graph.levels(vertices, edges), vertices.where("name LIKE 'n%'"), 8)
+    return out.select("functions", "done", "filtered", "todo", "levels", "rounds", F.array_join(F.col("sizes").cast("array<string>"), ",").alias("sizes"), F.array_join("first", ",").alias("first"))
+
+
+#: One file or a folder of two a case, folders that are no case, and cases not asked for.
+_LAID_OUT = "SELECT p_partkey % 4 AS k, (p_partkey - p_partkey % 4) / 4 AS n, concat('c', CAST((p_partkey - p_partkey % 4) / 4 AS BIGINT), CASE p_partkey % 4 WHEN 0 THEN '.cpp' WHEN 1 THEN '/b.cpp' WHEN 2 THEN '/sub/a.c' ELSE '/notes.txt' END) AS path, p_name AS text FROM {part}"
+
+
+@query("x_candidates", f"WITH f AS (SELECT *, CAST(n AS BIGINT) AS c FROM ({_LAID_OUT}) l WHERE NOT (k = 0 AND CAST(n AS BIGINT) % 3 <> 0) AND k <> 3), o AS (SELECT c, bool_or(k = 0) AS alone FROM f GROUP BY c) SELECT concat('c', f.c) AS case_name, string_agg(text, chr(10) || chr(10) ORDER BY k) AS text FROM f JOIN o ON o.c = f.c WHERE f.c % 5 <> 4 AND (k = 0 OR NOT alone) GROUP BY f.c")
+def x_candidates(spark, d):
+    files = on_spark(spark, d, _LAID_OUT).where("NOT (k = 0 AND CAST(n AS BIGINT) % 3 <> 0)")
+    cases = files.where("CAST(n AS BIGINT) % 5 <> 4").select(F.concat(F.lit("c"), F.col("n").cast("bigint")).alias("case")).distinct()
+    return programs.candidates(files.select("path", "text"), cases, "/out/run").withColumnRenamed("case", "case_name")
+
+
 def demo_provider():
     """A deterministic stand-in for a model."""
 

@@ -60,3 +60,50 @@ def inferred(names: DataFrame, cases: DataFrame) -> DataFrame:
 
     known = cases.groupBy(F.lower("case").alias("stem")).agg(F.max_by("case", F.struct(F.length("case"), "case")).alias("case"))
     return names.withColumn("stem", infer_case(F.col("name"))).join(known, "stem", "left").select("name", "case")
+
+
+def _kind(path: str):
+    return F.coalesce(*[F.when(F.endswith(path, F.lit(s)), i) for i, s in enumerate(SOURCE_SUFFIXES)])
+
+
+def _picked(files: DataFrame, whole: bool) -> DataFrame:
+    """``(case, text)`` of ``files(case, path, text)``: the case's own file, else its own folder, else, if ``whole``, all files."""
+    alone = F.regexp_replace("path", r"\.[^./]*$", "") == F.col("case")
+    rank = F.when(alone, F.col("kind")).when(F.startswith("path", F.concat("case", F.lit("/"))), len(SOURCE_SUFFIXES)).when(F.lit(whole), len(SOURCE_SUFFIXES) + 1)
+    ranked = files.withColumn("kind", _kind("path")).where("kind IS NOT NULL").withColumn("rank", rank).where("rank IS NOT NULL").drop("kind")
+    best = ranked.groupBy("case").agg(F.min("rank").alias("rank"))
+    return blobs(ranked.join(best, ["case", "rank"])).where("text <> ''")
+
+
+def _of_stage(files: DataFrame, stage: str) -> DataFrame:
+    """``files(owner, path, text)`` of each owner's folder ``stage`` if it has one, else all of the owner's."""
+    inside = F.startswith("path", F.lit(stage + "/"))
+    have = files.groupBy("owner").agg(F.max(inside).alias("staged"))
+    kept = files.join(have, "owner").where(~F.col("staged") | inside)
+    return kept.select("owner", F.when(F.col("staged"), F.substring("path", F.lit(len(stage) + 2), F.length("path"))).otherwise(F.col("path")).alias("path"), "text")
+
+
+def candidates(files: DataFrame, cases: DataFrame, root: str, stage: str = "improved", case: str | None = None) -> DataFrame:
+    """``(case, text)`` of the candidates in ``files(path, text)``, paths relative to the folder ``root``.
+
+    The first that holds anything: the one ``case`` if it is named; files or folders by a case's name; a folder whose own or parent's name
+    gives a case (``inferred``); folders in it whose names do, the first by name of a case. Folders of a binary
+    are read from their ``stage`` if they have it.
+    """
+    spark = files.sparkSession
+    whole = _of_stage(files.select(F.lit(root).alias("owner"), "path", "text"), stage)
+    named = lambda c: _picked(whole.select(F.lit(c).alias("case"), "path", "text"), True)
+    if case is not None:
+        return named(case)
+    nested = F.contains("path", F.lit("/"))
+    top = F.when(nested, F.substring_index("path", "/", 1)).otherwise(F.regexp_replace("path", r"\.[^.]*$", ""))
+    classic = _picked(files.select(top.alias("case"), "path", "text").join(cases, "case", "left_semi"), False)
+    if not classic.isEmpty():
+        return classic
+    for part in root.rstrip("/").split("/")[:-3:-1]:
+        found = inferred(spark.createDataFrame([(part,)], "name string"), cases).first()
+        if found["case"] is not None:
+            return named(found["case"])
+    below = files.where(nested).select(F.substring_index("path", "/", 1).alias("owner"), F.regexp_replace("path", "^[^/]*/", "").alias("path"), "text")
+    owners = inferred(below.select(F.col("owner").alias("name")).distinct(), cases).where("case IS NOT NULL").groupBy("case").agg(F.min("name").alias("owner"))
+    return _picked(_of_stage(below, stage).join(owners, "owner").select("case", "path", "text"), True)
