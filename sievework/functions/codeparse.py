@@ -93,7 +93,7 @@ def _name_before(tokens: list[Token], at: int) -> int:
             i -= 1
         elif t.text == ">" and (i == at or tokens[i].text in ("::", "(")):
             depth, j = 0, i - 1
-            while j >= 0 and i - j < 200:
+            while j >= 0:
                 depth += {">": 1, ">>": 2, "<": -1}.get(tokens[j].text, 0)
                 if depth == 0:
                     break

@@ -79,10 +79,14 @@ def split(examples: DataFrame, share: float, seed: int = 0) -> DataFrame:
 
     Not the draw of a seeded shuffle, but the same on every run and cluster: the first max(1, int(n x share)) by hash.
     """
-    h = F.xxhash64(F.lit(seed), "program_id", "name")
-    place = F.row_number().over(Window.orderBy(h, "program_id", "name"))
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    return examples.withColumn("fold", F.when(place <= F.greatest(F.lit(1), F.floor(n * share)), "val").otherwise("train"))
+    marked = examples.withColumn("__hash", F.xxhash64(F.lit(seed), "program_id", "name")).withColumn("__part", F.shiftright("__hash", 48))
+    # places within parts of the hash's range; only the parts, at most 65,536 rows, are summed in one task
+    sizes = marked.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
+    before = F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")
+    parts = sizes.select("__part", before.alias("__before"), F.sum("__size").over(Window.partitionBy(F.lit(0))).alias("__n"))
+    place = F.col("__before") + F.row_number().over(Window.partitionBy("__part").orderBy("__hash", "program_id", "name"))
+    fold = F.when(place <= F.greatest(F.lit(1), F.floor(F.col("__n") * share)), "val").otherwise("train")
+    return marked.join(parts, "__part").withColumn("fold", fold).select(*examples.columns, "fold")
 
 
 def uncached(todo: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Call graphs as two tables: ``vertices(binary_id, name)`` and distinct ``edges(binary_id, src, dst)`` without self-edges.
 
-All operators work on all binaries at once and join on (binary_id, name). A traversal
+All operators work on all binaries at once and join on (binary_id, name). A binary of at most ``SMALL``
+edges is walked as a whole within one task, all such binaries side by side. For larger ones a traversal
 is a loop over frontiers on the driver; what each round finds is a table in the shared folder, so a
 round reads stored rows and a lost executor costs one round at most.
 """
@@ -9,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +18,72 @@ from pyspark.sql import functions as F
 from sievework.session import Staged, staged
 
 KEY = ["binary_id", "name"]
+#: Edges of a binary that one task walks: some 300 MB of names at this many.
+SMALL = 500_000
+
+
+def _by_size(edges: DataFrame, small: int) -> DataFrame:
+    """The binaries of more than ``small`` edges."""
+    return staged(edges.groupBy("binary_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).select("binary_id"), "large")
+
+
+def _walked(edges: DataFrame, nodes: DataFrame, walk, column: str) -> DataFrame:
+    """``(binary_id, name, column)`` of each binary by ``walk(marked, src, dst)``, which returns a number a name, below 0 for no row.
+
+    ``nodes(binary_id, name)`` are marked; ``src`` and ``dst`` are places of names.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        codes, names = pd.factorize(pd.concat([pdf["src"], pdf["dst"]], ignore_index=True))  # -1 for a node's missing dst
+        src, dst = codes[: len(pdf)], codes[len(pdf) :]
+        marked = np.zeros(len(names), bool)
+        marked[src[dst < 0]] = True
+        got = walk(marked, src[dst >= 0], dst[dst >= 0])
+        keep = np.flatnonzero(got >= 0)
+        return pd.DataFrame({"binary_id": pdf["binary_id"].iloc[0], "name": names.to_numpy(dtype=object)[keep], column: got[keep].astype(np.int32)})
+
+    every = edges.select("binary_id", "src", "dst").union(nodes.select("binary_id", F.col("name"), F.lit(None).cast("string")))
+    return every.groupBy("binary_id").applyInPandas(run, f"binary_id string, name string, {column} int")
+
+
+def _grouped(n: int, key: np.ndarray, value: np.ndarray):
+    """A function from places to the values of the pairs with such a key."""
+    order = np.argsort(key, kind="stable")
+    value, starts = value[order], np.searchsorted(key[order], np.arange(n + 1))
+
+    def of(at: np.ndarray) -> np.ndarray:
+        low, size = starts[at], starts[at + 1] - starts[at]
+        return value[np.repeat(low - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())] if len(at) else value[:0]
+
+    return of
+
+
+def _hops(most: int | None):
+    def walk(marked: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+        depth = np.where(marked, 0, -1)
+        callees, now, at = _grouped(len(marked), src, dst), np.flatnonzero(marked), 0
+        while len(now) and (most is None or at < most):
+            at += 1
+            found = np.unique(callees(now))
+            now = found[depth[found] < 0]
+            depth[now] = at
+        return depth
+
+    return walk
+
+
+def _heights(marked: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    inside = marked[src] & marked[dst]
+    src, dst = src[inside], dst[inside]
+    open_callees, level = np.bincount(src, minlength=len(marked)), np.full(len(marked), -1)
+    callers_of, now, at = _grouped(len(marked), dst, src), np.flatnonzero(marked & (open_callees == 0)), 0
+    while len(now):
+        level[now] = at
+        at += 1
+        touched, times = np.unique(callers_of(now), return_counts=True)
+        open_callees[touched] -= times
+        now = touched[open_callees[touched] == 0]
+    return level
 
 
 def graph_edges(calls: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -43,11 +111,19 @@ def roots(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.select(KEY).join(edges.select("binary_id", F.col("dst").alias("name")), KEY, "left_anti")
 
 
-def depths(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+def depths(edges: DataFrame, starts: DataFrame, most: int | None = None, small: int = SMALL) -> DataFrame:
     """Least hops from any of ``starts(binary_id, name)``: ``(binary_id, name, depth)``; what is not reached has no row.
 
     ``most`` bounds the depth that is explored, which also bounds the work.
     """
+    large = _by_size(edges, small)
+    near = staged(_walked(edges.join(large, "binary_id", "left_anti"), starts.select(KEY).distinct().join(large, "binary_id", "left_anti"), _hops(most), "depth"), "depth")
+    if large.isEmpty():
+        return near
+    return near.union(_depths_by_rounds(edges.join(large, "binary_id", "left_semi"), starts.join(large, "binary_id", "left_semi"), most))
+
+
+def _depths_by_rounds(edges: DataFrame, starts: DataFrame, most: int | None) -> DataFrame:
     seen = [Staged(starts.select(KEY).distinct().withColumn("depth", F.lit(0)), "depth")]
     while most is None or len(seen) <= most:
         found = seen[0].read()
@@ -119,12 +195,20 @@ def entry_points(vertices: DataFrame, edges: DataFrame, exported: DataFrame | No
     return named.union(chosen.join(named.select("binary_id").distinct(), "binary_id", "left_anti"))
 
 
-def levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+def levels(vertices: DataFrame, edges: DataFrame, small: int = SMALL) -> DataFrame:
     """Dependency level of each vertex of an acyclic graph: 0 without callees, else one above its highest callee.
 
     Each round takes the vertices all of whose callees are done. On a cycle no round ends it:
     those vertices have no row; ``levels_any`` takes such binaries to the exact walk.
     """
+    large = _by_size(edges, small)
+    low = staged(_walked(edges.join(large, "binary_id", "left_anti"), vertices.select(KEY).distinct().join(large, "binary_id", "left_anti"), _heights, "level"), "level")
+    if large.isEmpty():
+        return low
+    return low.union(_levels_by_rounds(vertices.join(large, "binary_id", "left_semi"), edges.join(large, "binary_id", "left_semi")))
+
+
+def _levels_by_rounds(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     left = Staged(vertices.select(KEY).distinct(), "left")
     tables: list[Staged] = []
     while True:

@@ -23,7 +23,11 @@ def candidates(calls: DataFrame, functions: DataFrame) -> DataFrame:
     the base name. A known arity narrows several hits, unless that leaves none: for
     qualified calls to the arity or unknown, for bare ones, if more than one, to the arity.
     """
-    ways = index(functions)
+    return _hits(calls, index(functions).withColumn("n", F.lit(1))).select("call_id", "binary_id", "name")
+
+
+def _hits(calls: DataFrame, ways: DataFrame) -> DataFrame:
+    """The rows of ``ways`` that each call could mean; a row stands for the ``n`` functions of its name and arity."""
     qualified = F.coalesce(F.col("qualifier"), F.lit("")) != ""
     probes = calls.select(
         "call_id", "binary_id", F.col("arity").alias("wanted"), qualified.alias("is_qualified"),
@@ -33,14 +37,16 @@ def candidates(calls: DataFrame, functions: DataFrame) -> DataFrame:
     per = Window.partitionBy("call_id", "binary_id")
     hits = hits.withColumn("exact", F.max((F.col("kind") == "exact").cast("int")).over(per)).where("exact = 0 OR kind = 'exact'")
     fits = (F.col("arity") == F.col("wanted")) | (F.col("is_qualified") & (F.col("arity") == -1))
-    narrows = (F.col("kind") != "exact") & (F.col("wanted") >= 0) & (F.col("is_qualified") | (F.count(F.lit(1)).over(per) > 1))
+    narrows = (F.col("kind") != "exact") & (F.col("wanted") >= 0) & (F.col("is_qualified") | (F.sum("n").over(per) > 1))
     hits = hits.withColumn("keeps", narrows & fits).withColumn("any", F.max(F.col("keeps").cast("int")).over(per))
-    return hits.where("any = 0 OR keeps").select("call_id", "binary_id", "name")
+    return hits.where("any = 0 OR keeps")
 
 
 def resolve(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """``(call_id, binary_id, name)`` of the calls that name exactly one function; a guess would be a wrong edge."""
-    found = candidates(calls, functions).groupBy("call_id", "binary_id").agg(F.count(F.lit(1)).alias("n"), F.first("name").alias("name"))
+    # functions of one name and arity are one row before the join: a common name costs a call a row an arity, not one a function
+    ways = index(functions).groupBy("binary_id", "kind", "value", "arity").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("name"))
+    found = _hits(calls, ways).groupBy("call_id", "binary_id").agg(F.sum("n").alias("n"), F.min("name").alias("name"))
     return found.where("n = 1").select("call_id", "binary_id", "name")
 
 

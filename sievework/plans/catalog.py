@@ -122,7 +122,7 @@ _HOPS = "hops AS (SELECT name, 0 AS depth FROM starts UNION SELECT e.dst, h.dept
 @query("g_depths_single", with_graph("cyclic", "starts AS (SELECT 'p1' AS name), " + _HOPS.replace("{most}", "12")))
 def g_depths_single(spark, d):
     _, edges = load(spark, d, "cyclic")
-    return graph.depths(edges, graph.starts_from(spark, "cyclic", ["p1"]), most=12).select("name", "depth")
+    return graph.depths(edges, graph.starts_from(spark, "cyclic", ["p1"])).select("name", "depth")
 
 
 @query("g_depths_multi", with_graph("dag", "starts AS (SELECT name FROM roots), " + _HOPS.replace("{most}", "9")))
@@ -243,7 +243,7 @@ def f_gate(spark, d):
     return _gated(spark, d).select("fid", "worth")
 
 
-@query("f_gate_parsed")
+@query("f_gate_parsed", f"SELECT fid, reason, reason IS NULL AS worth FROM (SELECT fid, CASE WHEN fid % 13 = 0 THEN 'blank' WHEN fid % 11 IN (0, 1, 5) THEN 'library' WHEN fid % 13 = 1 THEN 'short' WHEN fid % 11 = 2 THEN 'named_thunk' WHEN fid % 13 = 2 AND fid % 11 IN (3, 4) THEN 'named_and_clean' END AS reason FROM ({views.FUNCTIONS}) f) r")
 def f_gate_parsed(spark, d):
     rows = on_spark(spark, d, views.FUNCTIONS).withColumn("s", codeparse.shape(F.col("code"))).select("*", "s.parsed_name", "s.calls", "s.cyclomatic")
     return gate.gate(rows).select("fid", "reason", "worth")
@@ -353,7 +353,10 @@ def n_rename_apply(spark, d):
     return naming.apply(on_spark(spark, d, _FILES), on_spark(spark, d, _RENAMES_SPARK)).select("fid", "code")
 
 
-@query("n_unique_names")
+_RANKED = "SELECT p_partkey, replace(p_name, ' ', '_') AS proposal, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part"
+
+
+@query("n_unique_names", f"SELECT concat('FUN_', printf('%08x', p_partkey)) AS old, CASE WHEN n = 1 THEN proposal ELSE concat(proposal, '_', n + 1) END AS new FROM ({_RANKED}) r WHERE n < 99")
 def n_unique_names(spark, d):
     rows = on_spark(spark, d, "SELECT 'b' AS binary_id, concat('FUN_', printf('%08x', p_partkey)) AS old, replace(p_name, ' ', '_') AS proposal, p_partkey AS pos FROM {part}")
     taken = on_spark(spark, d, "SELECT DISTINCT 'b' AS binary_id, concat(replace(p_name, ' ', '_'), '_2') AS name FROM {part}")
@@ -683,7 +686,7 @@ def x_context_sizes(spark, d):
     return own.join(F.broadcast(full))  # one row
 
 
-# -- parsing and stages: no SQL -----------------------------------------------------------------------------------------
+# -- parsing and stages: what each text of views.FUNCTIONS must give, by how it is built -----------------------------------------------------------------------------------------
 
 
 @query("p_scan_items")
@@ -691,13 +694,13 @@ def p_scan_items(spark, d):
     return codeparse.items(on_spark(spark, d, views.FUNCTIONS).select("fid", "code")).select("fid", "ordinal", "kind", "item", "body", F.array_join("calls", ",").alias("calls"))
 
 
-@query("p_complexity")
+@query("p_complexity", f"SELECT fid, CASE WHEN fid % 13 = 0 THEN NULL WHEN fid % 11 = 5 THEN '_start' ELSE name END AS parsed_name, 1 AS cyclomatic, CASE WHEN fid % 13 IN (0, 2) THEN 0 ELSE 1 END AS n_calls, CASE fid % 13 WHEN 0 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS max_depth, CASE fid % 13 WHEN 0 THEN NULL WHEN 1 THEN concat('void ', name, '(void)') WHEN 2 THEN concat('long ', name, '(int total)') ELSE concat('undefined8 ', name, '(int param_1)') END AS signature FROM ({views.FUNCTIONS}) f")
 def p_complexity(spark, d):
     s = on_spark(spark, d, views.FUNCTIONS).select("fid", codeparse.shape(F.col("code")).alias("s"))
     return s.select("fid", "s.parsed_name", "s.cyclomatic", "s.n_calls", "s.max_depth", "s.signature")
 
 
-@query("p_valid")
+@query("p_valid", f"SELECT fid, fid % 13 <> 0 AS valid FROM ({views.FUNCTIONS}) f")
 def p_valid(spark, d):
     return on_spark(spark, d, views.FUNCTIONS).select("fid", codeparse.valid(F.col("code")).alias("valid"))
 
@@ -708,13 +711,16 @@ def p_parse(spark, d):
     return p.select("fid", F.size("p.tokens").alias("n_tokens"), F.array_join("p.identifiers", ",").alias("identifiers"), F.array_join("p.literals", ",").alias("literals"))
 
 
-@query("p_identity")
+_OWNER = "CASE fid % 11 WHEN 0 THEN 'std::vector' WHEN 4 THEN 'Ledger' ELSE '' END"
+
+
+@query("p_identity", f"SELECT stem AS name, CASE WHEN fid % 11 = 5 OR fid % 13 = 0 THEN '' WHEN fid % 13 = 1 THEN own WHEN own = '' THEN ns ELSE concat(ns, '::', own) END AS qualifier, CASE fid % 11 WHEN 0 THEN 'push_back' WHEN 4 THEN replace(name, 'Ledger::', '') WHEN 5 THEN CASE WHEN fid % 13 = 0 THEN 'processEntry_start' ELSE '_start' END ELSE name END AS base, CASE fid % 13 WHEN 0 THEN -1 WHEN 1 THEN 0 WHEN 2 THEN 2 ELSE 1 END AS arity, CASE fid % 13 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN 'int,Item' ELSE 'int' END AS params FROM (SELECT *, {_OWNER} AS own, CASE fid % 13 WHEN 2 THEN 'ns::Store' ELSE 'ns::Graph' END AS ns FROM ({views.FUNCTIONS}) f) x")
 def p_identity(spark, d):
     out = callgraph.identified(on_spark(spark, d, views.FUNCTIONS).select("binary_id", F.col("stem").alias("name"), "code"))
     return out.select("name", "qualifier", "base", "arity", F.array_join("params", ",").alias("params"))
 
 
-@query("p_callgraph")
+@query("p_callgraph", f"WITH f AS ({views.FUNCTIONS}) SELECT f.binary_id, f.stem AS src, g.stem AS dst FROM f JOIN f g ON g.fid = f.fid + 1 WHERE f.fid % 13 > 2 AND g.fid % 11 > 5")
 def p_callgraph(spark, d):
     return callgraph.build(on_spark(spark, d, views.FUNCTIONS).select("binary_id", F.col("stem").alias("name"), "code"))
 

@@ -130,3 +130,9 @@ def test_similarity_orders(spark):
 
 def test_structs():
     assert codeparse.structs("struct A { int x; char name[8]; void go(int q) { int y; } };\nstruct B;\nclass D { public: long z; };") == [("A", 0, ["go", "name", "x"]), ("D", 1, ["z"])]
+
+
+def test_long_template_arguments():
+    long = "Table<" + ", ".join(f"T{i}" for i in range(400)) + ">"
+    (item,) = codeparse.scan(f"void f() {{ {long}::make(1); }}")
+    assert [c.replace(" ", "") for c in item.calls] == [f"{long}::make".replace(" ", "")]

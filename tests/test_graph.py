@@ -69,3 +69,25 @@ def test_edges_of_a_dag_go_down(spark, pairs):
     exact = as_map(graph.ordered(v, e), "level")
     assert level == exact
     assert all(level[a] > level[b] for a, b in edges)
+
+
+def test_a_walk_and_rounds_agree(spark):
+    """Random graphs, some with cycles: one task a binary and rounds over all give the same depths and levels."""
+    import random
+
+    rng = random.Random(5)
+    rows, names = set(), []
+    for b in range(12):
+        n = rng.randint(2, 14)
+        names += [(f"b{b}", f"v{i}") for i in range(n)]
+        for _ in range(rng.randint(0, 30)):
+            x, y = rng.sample(range(n), 2)
+            rows.add((f"b{b}", f"v{x}", f"v{y}") if b % 3 == 0 or x < y else (f"b{b}", f"v{y}", f"v{x}"))
+    e = spark.createDataFrame(sorted(rows), "binary_id string, src string, dst string")
+    v = spark.createDataFrame(names, "binary_id string, name string")
+    starts = v.where("name IN ('v0', 'v3')")
+    for small in (0, 8, 20):
+        for most in (None, 0, 2):
+            assert sorted(map(tuple, graph.depths(e, starts, most, small).collect())) == sorted(map(tuple, graph.depths(e, starts, most).collect()))
+        assert sorted(map(tuple, graph.levels(v, e, small).collect())) == sorted(map(tuple, graph.levels(v, e).collect()))
+    assert graph.depths(e, starts, 2).count() < graph.depths(e, starts).count()
