@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 SLACK = 1e-9
 
 
+def mean(score: Column, scale: int, digits: int) -> Column:
+    """The mean of scores of at most ``scale`` decimals to ``digits`` decimals, of which there are no fewer; halves away from 0.
+
+    It is summed in whole units: a sum of doubles depends on the order of rows, which decides where a mean lies halfway.
+    Scores that are no such numbers, not finite or of 1e9 or more, are averaged as doubles.
+    """
+    small = F.abs(score) < 1e9  # not so for NaN, which is the largest double
+    units = F.sum(F.when(small, F.round(score * 10**scale).cast("decimal(18,0)")))
+    n = F.count(score).cast("decimal(18,0)")
+    # halves are counted, so that one whole division rounds; there is no score for n = 0 to divide
+    halves = F.call_function("div", F.abs(units) * (2 * 10 ** (digits - scale)) + n, F.greatest(2 * n, F.lit(1)))
+    return F.when(F.count_if(~small) > 0, F.round(F.avg(score), digits)).otherwise(F.signum(units) * halves / 10**digits)
+
+
 def paired(scores: DataFrame, seed: str, missing: float | None = None) -> DataFrame:
     """Each candidate against ``seed`` on the same examples: ``mean, delta, wins, losses``.
 

@@ -544,7 +544,7 @@ _MEANS = f"{_S}, m AS (SELECT candidate, round(avg(score), 6) AS mean FROM s GRO
 
 
 def _means(spark, d):
-    return on_spark(spark, d, views.SCORES).groupBy("candidate").agg(F.round(F.avg("score"), 6).alias("mean"))
+    return on_spark(spark, d, views.SCORES).groupBy("candidate").agg(experiments.mean(F.col("score"), 4, 6).alias("mean"))
 
 
 @query("e_winner", f"{_MEANS} SELECT candidate, CAST(mean AS DOUBLE) AS mean FROM m ORDER BY m.mean DESC, candidate LIMIT 1")

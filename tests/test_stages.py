@@ -142,6 +142,31 @@ def test_split_is_stable(spark):
     assert first == again and sum(r[-1] == "val" for r in first) == 3
 
 
+def test_means_halfway_do_not_depend_on_order(spark, tmp_path):
+    """Means of 64 scores that lie halfway between two sixth decimals: rounded up, whatever a sum of doubles makes of them."""
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from pyspark.sql import functions as F
+
+    from sievework.plans import catalog
+
+    rows, want = [], {}
+    for seed in (0, 2, 3, 10, 11, 13, 16):
+        rng = random.Random(seed)
+        tenths = [rng.randrange(0, 11) for _ in range(64)]
+        want[f"s{seed}"] = float((Decimal(sum(tenths)) / 640).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+        rows += [(seed, part, t / 100) for part, t in enumerate(tenths)]
+    for folder, turn in (("there", 1), ("back", -1)):
+        spark.createDataFrame(rows[::turn], "l_suppkey bigint, l_partkey bigint, l_discount double").coalesce(1).write.parquet(str(tmp_path / folder / "lineitem.parquet"))
+        got = {r["candidate"]: r["rank"] for r in catalog.QUERIES["e_leaderboard"](spark, str(tmp_path / folder)).collect()}
+        assert got == {c: i for i, c in enumerate(sorted(want, key=lambda c: (-want[c] if not c.endswith("7") else 1, c)), 1)}
+        assert {r["candidate"]: r["mean"] for r in catalog._means(spark, str(tmp_path / folder)).collect()} == want
+    odd = [("none", None), ("nan", float("nan")), ("nan", 0.5), ("minus", -0.5), ("minus", -0.25), ("some", None), ("some", 0.5), ("far", 1e300)]
+    means = spark.createDataFrame(odd, "c string, score double").groupBy("c").agg(experiments.mean(F.col("score"), 4, 6).alias("m")).collect()
+    assert {r["c"]: str(r["m"]) for r in means} == {"none": "None", "nan": "nan", "minus": "-0.375", "some": "0.5", "far": "1e+300"}
+
+
 def test_groups_keep_null_keys_and_equal_names(spark):
     """Null is a group; two groups whose representatives share a name stay apart; a repeated row is one representative."""
     from sievework.operators import dedup
