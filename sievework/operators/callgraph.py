@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import codeparse, identity, text
+from sievework.session import staged
 
 from . import resolve
 
@@ -31,6 +32,7 @@ def call_sites(functions: DataFrame) -> DataFrame:
 
 def build(functions: DataFrame) -> DataFrame:
     """Distinct edges ``(binary_id, src, dst)``; calls that are unknown, ambiguous or to itself have none."""
-    calls = call_sites(functions)
+    functions = functions.repartition("binary_id", "name")  # texts are parsed in all tasks, however few files they come from
+    calls = staged(call_sites(functions), "sites")  # read twice, parsed once
     hits = resolve.resolve(calls, identified(functions))
     return hits.join(calls.select("call_id", "binary_id", "caller"), ["call_id", "binary_id"]).where("caller <> name").select("binary_id", F.col("caller").alias("src"), F.col("name").alias("dst")).distinct()

@@ -20,9 +20,18 @@ def taken_names(symbols: DataFrame, current: DataFrame) -> DataFrame:
 
 def unique_name(proposal: str | None, taken: set[str]) -> str | None:
     """The proposal, or it with the first free number from 2 to 99; None if it can't be a name."""
-    if not proposal or not re.match(IDENTIFIER, proposal) or proposal in RESERVED or re.match(SYNTHETIC, proposal):
-        return None
-    return next((n for n in (proposal, *(f"{proposal}_{i}" for i in range(2, 100))) if n not in taken), None)
+    return _next_name(proposal, taken, 1)[0]
+
+
+def _next_name(proposal: str | None, taken: set[str], start: int) -> tuple[str | None, int]:
+    """The first free name from number ``start`` on, 1 being the proposal itself, and that number; 100 if there is none."""
+    if start > 99 or not proposal or not re.match(IDENTIFIER, proposal) or proposal in RESERVED or re.match(SYNTHETIC, proposal):
+        return None, 100
+    for i in range(start, 100):
+        name = proposal if i == 1 else f"{proposal}_{i}"
+        if name not in taken:
+            return name, i
+    return None, 100
 
 
 def assign(proposals: DataFrame, taken: DataFrame) -> DataFrame:
@@ -35,9 +44,10 @@ def assign(proposals: DataFrame, taken: DataFrame) -> DataFrame:
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         used = set(pdf.loc[pdf["pos"] < 0, "proposal"]) | set(RESERVED)
-        rows = []
+        rows, tried = [], {}
         for r in pdf[pdf["pos"] >= 0].sort_values(["pos", "old"]).itertuples():
-            new = unique_name(r.proposal, used)
+            # names are never freed, so what was taken for a proposal before is taken now
+            new, tried[r.proposal] = _next_name(r.proposal, used, tried.get(r.proposal, 1))
             if new:
                 used.add(new)
                 rows.append((r.binary_id, r.old, new))
@@ -49,12 +59,16 @@ def assign(proposals: DataFrame, taken: DataFrame) -> DataFrame:
 def apply(files: DataFrame, renames: DataFrame, code: str = "code") -> DataFrame:
     """``files(binary_id, ..., code)`` with every whole word that ``renames(binary_id, old, new)`` lists replaced.
 
-    A text is read once, word by word, whatever the number of renames. New names are no placeholders, so no
-    rename feeds another. Each binary's renames travel to its files as one map.
+    New names are no placeholders, so no rename feeds another. The distinct words of a text meet the renames in an
+    equi-join, so that a text carries its own renames only and its work does not grow with their number.
     """
-    maps = renames.where("old <> new").groupBy("binary_id").agg(F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("__map"))
+    wanted = renames.where("old <> new").select("binary_id", F.col("old").alias("__old"), F.col("new").alias("__new"))
+    mark = lambda df: F.sha2(F.encode(df[code], "UTF-8"), 256)
+    texts = files.select("binary_id", mark(files).alias("__text"), F.explode(F.array_distinct(F.regexp_extract_all(code, F.lit("[A-Za-z0-9_]+"), F.lit(0)))).alias("__old"))
+    # the same text may be there more than once; its renames are the same
+    hits = texts.join(wanted, ["binary_id", "__old"]).groupBy("binary_id", "__text").agg(F.map_from_entries(F.collect_set(F.struct("__old", "__new"))).alias("__map"))
     words = F.regexp_extract_all(code, F.lit(r"[A-Za-z0-9_]+|[^A-Za-z0-9_]+"), F.lit(0))
-    joined = files.join(maps, "binary_id", "left")
+    joined = files.withColumn("__text", mark(files)).join(hits, ["binary_id", "__text"], "left")
     new = F.when(F.col("__map").isNull(), F.col(code)).otherwise(F.array_join(F.transform(words, lambda w: F.coalesce(F.element_at("__map", w), w)), ""))
     return joined.withColumn(code, new).select(*files.columns)
 

@@ -95,6 +95,42 @@ def test_naming_goes_leaves_first(spark):
     assert all("FUN_" not in r["code"] for r in out.collect())
 
 
+def test_renames_cost_a_text_its_own_words(spark):
+    """Many renames and texts: no text meets a rename that it has no word of; equal and null texts, unknown binaries."""
+    import time
+
+    from sievework.operators import naming
+
+    n, words = 20_000, 60
+    renames = spark.range(n).selectExpr("'b' AS binary_id", "concat('FUN_', hex(id)) AS old", "concat('name_', id) AS new").union(spark.createDataFrame([("b", "same", "same"), ("c", "FUN_0", "other")], "binary_id string, old string, new string"))
+    text = " + ".join(f"FUN_%1$X({i})" for i in range(words))
+    files = spark.range(n + 1).selectExpr("CASE WHEN id = 0 THEN 'd' ELSE 'b' END AS binary_id", "concat('f', id) AS name", f"printf('{text} same XFUN_1', id) AS code")
+    few = spark.createDataFrame([("b", "x", "FUN_0;"), ("b", "x", "FUN_0;"), ("b", "null", None), ("c", "y", "FUN_0 FUN_1"), ("b", "empty", "")], "binary_id string, name string, code string")
+    began = time.time()
+    got = naming.apply(files.union(few), renames)
+    assert got.groupBy().count().first()[0] == n + 6
+    told = {(r["binary_id"], r["name"]): r["code"] for r in got.where(f"name IN ('x', 'null', 'y', 'empty', 'f0', 'f9', 'f{n}')").collect()}
+    assert told[("b", "x")] == "name_0;" and told[("b", "null")] is None and told[("c", "y")] == "other FUN_1" and told[("b", "empty")] == ""
+    assert told[("b", "f9")] == " + ".join(f"name_9({i})" for i in range(words)) + " same XFUN_1"
+    assert told[("d", "f0")].startswith("FUN_0(0)") and f"FUN_{n:X}(0)" in told[("b", f"f{n}")]
+    changed = got.where("contains(code, 'name_')").count()
+    assert changed == n - 1 + 2 and time.time() - began < 60
+
+
+def test_taken_numbers_are_tried_once(spark):
+    """Each next name is the first free one, also where numbers are taken, up to 99."""
+    from sievework.operators import naming
+
+    proposals = spark.createDataFrame([("b", f"FUN_{i:04x}", "name" if i % 2 else "int", i) for i in range(300)] + [("b", "FUN_ffff", "name_3", 400)], "binary_id string, old string, proposal string, pos int")
+    taken = spark.createDataFrame([("b", "name_2"), ("b", "name_50")], "binary_id string, name string")
+    used, want = {"name_2", "name_50"}, []
+    for i in range(1, 300, 2):
+        new = naming.unique_name("name", used)
+        used |= {new} - {None}
+        want += [(f"FUN_{i:04x}", new)] if new else []
+    assert sorted((r["old"], r["new"]) for r in naming.assign(proposals, taken).collect()) == sorted([*want, ("FUN_ffff", "name_3_2")]) and len(want) == 97
+
+
 def test_state(spark, tmp_path):
     (tmp_path / "ok.json").write_text(json.dumps([{"timestamp": "t", "stage": "s", "model": "m", "improved": 3}]))
     (tmp_path / "bad.json").write_text("{not json")
