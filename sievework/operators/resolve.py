@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.session import staged
+
 
 def index(functions: DataFrame) -> DataFrame:
     """One row a way to name a function: ``binary_id, kind, value, name, arity``.
@@ -22,8 +24,37 @@ def candidates(calls: DataFrame, functions: DataFrame) -> DataFrame:
     text wins. Else a qualified call matches on its whole qualified name only, and a bare one on
     the base name. A known arity narrows several hits, unless that leaves none: for
     qualified calls to the arity or unknown, for bare ones, if more than one, to the arity.
+
+    What a call means is decided on counts of functions by name and arity; only then are functions listed. A way that
+    very many calls and functions share is listed in parts, so that no task has all of it.
     """
-    return _hits(calls, index(functions).withColumn("n", F.lit(1))).select("call_id", "binary_id", "name")
+    named = index(functions)
+    kept = staged(_hits(calls, _counted(named)).select("call_id", *_WAY, "n"), "kept")
+    a_part = F.greatest(F.lit(_CALLS_A_PART), F.lit(_ROWS_A_PART) / F.max("n"))
+    parts = staged(kept.groupBy(*_WAY).agg(F.ceil(F.count(F.lit(1)) / a_part).cast("int").alias("parts")), "parts")
+    mine = _same_way(kept.drop("n"), parts, "parts").withColumn("part", F.pmod(F.xxhash64("call_id"), "parts").cast("int"))
+    theirs = _same_way(named, parts, "parts").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return _same_way(mine, theirs, "name", "part").select("call_id", "binary_id", "name")
+
+
+_WAY = ["binary_id", "kind", "value", "arity"]
+#: A part of a way has about so many pairs, but so many calls at least: its functions are copied once a part.
+_ROWS_A_PART, _CALLS_A_PART = 4_000_000, 64
+
+
+def _counted(named: DataFrame) -> DataFrame:
+    """Functions of one name and arity as one row: a common name costs a call a row an arity, not one a function."""
+    return named.groupBy(*_WAY).agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("name"))
+
+
+def _same_way(left: DataFrame, right: DataFrame, extra: str, *also: str) -> DataFrame:
+    """``left`` with ``extra`` of each row of ``right`` of the same way, and of the same ``also``; null arities are the same."""
+    keys = ["binary_id", "kind", "value", *also]
+    other = right.select(*[F.col(k).alias(f"__{k}") for k in (*keys, "arity")], extra)
+    on = F.col("arity").eqNullSafe(F.col("__arity"))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"__{k}"))
+    return left.join(other, on).select(*[left[c] for c in left.columns if c != extra], other[extra])
 
 
 def _hits(calls: DataFrame, ways: DataFrame) -> DataFrame:
@@ -44,9 +75,7 @@ def _hits(calls: DataFrame, ways: DataFrame) -> DataFrame:
 
 def resolve(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """``(call_id, binary_id, name)`` of the calls that name exactly one function; a guess would be a wrong edge."""
-    # functions of one name and arity are one row before the join: a common name costs a call a row an arity, not one a function
-    ways = index(functions).groupBy("binary_id", "kind", "value", "arity").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("name"))
-    found = _hits(calls, ways).groupBy("call_id", "binary_id").agg(F.sum("n").alias("n"), F.min("name").alias("name"))
+    found = _hits(calls, _counted(index(functions))).groupBy("call_id", "binary_id").agg(F.sum("n").alias("n"), F.min("name").alias("name"))
     return found.where("n = 1").select("call_id", "binary_id", "name")
 
 

@@ -101,6 +101,41 @@ def test_ambiguous(spark):
     assert [(r["base"], r["names"]) for r in resolve.ambiguous(f).collect()] == [("x", ["x-1", "x-2"])]
 
 
+def test_candidates_are_listed_after_calls_are_decided(spark, monkeypatch):
+    """Against all pairs one by one: common names, unknown and null arities, exact stems, repeated calls, ways in parts."""
+    import random
+
+    rng = random.Random(3)
+    pick = lambda *xs: xs[rng.randrange(len(xs))]
+    functions = [(pick("b", "c"), f"{base}-{i}", f"{space}::{base}", base, pick(-1, 0, 1, 2, None)) for i, (base, space) in enumerate((pick("f", "f", "f", "g", f"h{k}"), pick("A", "B")) for k in range(120))]
+    calls = []
+    for i in range(300):
+        base, space = pick("f", "f", "g", "h1", "h7", "none"), pick("A", "B", "", None)
+        calls.append((i, pick("b", "c"), pick(base, base, f"{base}-{i % 120}"), space, f"{space}::{base}" if space else base, base, pick(-1, -1, 0, 1, 2, 7)))
+    calls += calls[:5]
+    want = []
+    for n, binary, text, space, qualified, base, wanted in calls:
+        mine = [f for f in functions if f[0] == binary]
+        copies = calls.count((n, binary, text, space, qualified, base, wanted))
+        hits = [f for f in mine if f[1] == text]
+        if not hits:
+            hits = [f for f in mine if (f[2] == qualified if space else f[3] == base)]
+            fit = [f for f in hits if f[4] is not None and (f[4] == wanted or space and f[4] == -1)]
+            if wanted >= 0 and (space or len(hits) * copies > 1) and fit:
+                hits = fit
+        want += [(n, f[1]) for f in hits]
+    c = spark.createDataFrame(calls, "call_id long, binary_id string, text string, qualifier string, qualified string, base string, arity int")
+    f = spark.createDataFrame(functions, "binary_id string, name string, qualified string, base string, arity int")
+    for in_parts in (False, True):
+        if in_parts:
+            monkeypatch.setattr(resolve, "_ROWS_A_PART", 50)
+            monkeypatch.setattr(resolve, "_CALLS_A_PART", 2)
+        got = resolve.candidates(c, f)
+        assert sorted((r["call_id"], r["name"]) for r in got.collect()) == sorted(want)
+        assert "Window" not in got._jdf.queryExecution().toString()  # pairs are written out, not sorted and counted
+    assert len(want) > 1_000
+
+
 def test_unique_names(spark):
     assert naming.unique_name("find", {"find", "find_2"}) == "find_3"
     assert [naming.unique_name(x, set()) for x in ("for", "FUN_12", "1x", None)] == [None] * 4
