@@ -118,10 +118,13 @@ def _valid(hit: str, kind: str) -> str:
 _NONE = f"CAST(array() AS {_SPAN})"
 
 
+#: What a text holds if a strict format matches in it.
+_NEEDS = {"email": "contains({0}, '@')", "phone": "contains({0}, '+')"}
+
+
 def strict_spans(text: str = "text") -> str:
     """The base spans of a text, by kind in the order of ``KINDS`` and then by start."""
-    needs = {"email": f"contains({text}, '@')", "phone": f"contains({text}, '+')"}
-    per = [f"CASE WHEN {needs.get(k, 'TRUE')} THEN {_found(text, k, STRICT[k], _valid('_p.hit', k))} ELSE {_NONE} END" for k in KINDS]
+    per = [f"CASE WHEN {_NEEDS.get(k, 'TRUE').format(text)} THEN {_found(text, k, STRICT[k], _valid('_p.hit', k))} ELSE {_NONE} END" for k in KINDS]
     return f"concat({', '.join(per)})"
 
 
@@ -133,8 +136,8 @@ def loose_spans(text: str = "text") -> str:
 FEATURES = ["generator", "length", "digits", "seps", "sep_kinds", "letters", "at_sign", "dots", "groups", "luhn", "top_group", "last_group", "octets", "last_letters", "before", "after", "digits_before", "digits_after"]
 
 
-def features(piece: str, generator: int) -> list[str]:
-    """Format and context features of a candidate, in the order of ``FEATURES``; no word of any language among them."""
+def features(piece: str, generator: int | str) -> list[str]:
+    """Format and context features of a candidate of a generator, a number or an expression, in the order of ``FEATURES``; no word of any language among them."""
     hit, gap, after = f"{piece}.hit", f"substring({piece}.gap, -24, 24)", f"{piece}.after"
     kind_of = lambda c: rf"CASE WHEN {c} = '' THEN 4 WHEN {c} RLIKE r'\s' THEN 0 WHEN {c} RLIKE '[0-9]' THEN 1 WHEN {c} RLIKE r'\p{{L}}' THEN 2 ELSE 3 END"
     groups = f"filter(split({hit}, '[^0-9]+'), _g -> _g <> '')"
@@ -180,36 +183,33 @@ def _rewritten(kind: str) -> str:
     return f"array({line(hit, 'TRUE')}, {line(loose, 'TRUE')}, {line(none, 'FALSE')})"
 
 
-def examples(docs: DataFrame, most_docs: int = 3_000) -> DataFrame:
-    """``(fold, kind, *FEATURES, label)``: candidates in about ``most_docs`` documents that have a digit or an @, chosen by a hash of the text.
+def examples(docs: DataFrame) -> DataFrame:
+    """``(fold, kind, *FEATURES, label, n)``: the candidates in all documents that have a digit or an @, ``n`` of them alike.
 
     Labels come from the strict formats. What they find is put back into its own surroundings as it stands, in looser forms, and in forms that
     are none (``_rewritten``); a candidate that is one of the former but for four characters before and one after, and is of its kind, is a true one. In the documents as they are, a
     candidate that is no strict span is a hard negative, unless its own digits pass the strict check of its kind. Folds are 0 to 9, by text.
     """
     held = docs.select(F.coalesce(docs["text"], F.lit("")).alias("text")).where("text RLIKE '[0-9@]'")
-    n = held.count()
-    few = staged(held.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most_docs / max(n, 1)))), "pii-sample")
     fold = "CAST(pmod(xxhash64(text, 'fold'), 10) AS INT) AS fold"
     lines = []
     for k, kind in enumerate(KINDS):
-        around = few.selectExpr(fold, f"explode(filter({_pieces('text', STRICT[kind])}, _p -> _p.hit <> '' AND {_valid('_p.hit', kind)})) AS p")
+        around = held.where(_NEEDS.get(kind, "TRUE").format("text")).selectExpr(fold, f"explode(filter({_pieces('text', STRICT[kind])}, _p -> _p.hit <> '' AND {_valid('_p.hit', kind)})) AS p")
         lines.append(around.selectExpr("fold", f"explode({_rewritten(kind)}) AS l").selectExpr("fold", "l.text", "l.at", "l.to", f"{k} AS kind", "l.truth"))
     made = reduce(DataFrame.union, lines).distinct()
     # in documents as they are each strict span is a truth of its own; around a rewritten one there may be others, which nobody knows of
-    every = few.selectExpr(fold, "text", f"transform({strict_spans()}, _s -> struct(_s.start AS at, _s.end AS to, _s.kind AS kind, TRUE AS truth)) AS items", "TRUE AS whole")
-    every = staged(every.union(made.selectExpr("fold", "text", "array(struct(at, to, kind, truth))", "FALSE")), "pii-lines")
-    rows = []
-    for g, (kind, pattern, needs) in enumerate(LOOSE):
-        k = KINDS.index(kind)
-        found = every.where(F.col("text").rlike(needs)).selectExpr("fold", "items", "whole", f"explode(filter({_pieces('text', pattern)}, _p -> _p.hit <> '')) AS p")
-        found = found.where("whole OR exists(items, _t -> _t.at < p.end AND p.start < _t.to)")
-        meets = f"exists(items, _t -> _t.truth AND _t.kind = {k} AND abs(p.start - _t.at) <= 4 AND abs(p.end - _t.to) <= 1)"
-        # what a strict format misses as it stands beside other digits is no negative
-        passes = f"(whole AND p.hit RLIKE r'^(?:{STRICT[kind]})$' AND {_valid('p.hit', kind)})"
-        columns = [f"CAST({x} AS DOUBLE) AS {name}" for x, name in zip(features("p", g), FEATURES, strict=True)]
-        rows.append(found.selectExpr("fold", f"{k} AS kind", *columns, f"CAST({meets} OR {passes} AS DOUBLE) AS label"))
-    return reduce(DataFrame.union, rows)
+    every = held.selectExpr(fold, "text", f"transform({strict_spans()}, _s -> struct(_s.start AS at, _s.end AS to, _s.kind AS kind, TRUE AS truth)) AS items", "TRUE AS whole")
+    every = every.union(made.selectExpr("fold", "text", "array(struct(at, to, kind, truth))", "FALSE"))
+    # all generators read a text while it is there, so that no copy of the corpus is stored
+    proposed = [f"CASE WHEN text RLIKE {_raw(needs)} THEN transform(filter({_pieces('text', pattern)}, _p -> _p.hit <> ''), _p -> struct({g} AS g, {KINDS.index(kind)} AS kind, _p AS p)) END" for g, (kind, pattern, needs) in enumerate(LOOSE)]
+    found = every.selectExpr("fold", "items", "whole", f"inline(flatten(filter(array({', '.join(proposed)}), _a -> _a IS NOT NULL)))")
+    found = found.where("whole OR exists(items, _t -> _t.at < p.end AND p.start < _t.to)")
+    meets = "exists(items, _t -> _t.truth AND _t.kind = kind AND abs(p.start - _t.at) <= 4 AND abs(p.end - _t.to) <= 1)"
+    # what a strict format misses as it stands beside other digits is no negative
+    passes = " ".join(f"WHEN {k} THEN p.hit RLIKE r'^(?:{STRICT[kind]})$' AND {_valid('p.hit', kind)}" for k, kind in enumerate(KINDS))
+    columns = [f"CAST({x} AS DOUBLE) AS {name}" for x, name in zip(features("p", "g"), FEATURES, strict=True)]
+    rows = found.selectExpr("fold", "kind", *columns, f"CAST({meets} OR (whole AND CASE kind {passes} END) AS DOUBLE) AS label")
+    return rows.groupBy("fold", "kind", *FEATURES, "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @dataclass
@@ -252,31 +252,41 @@ def _full(node, depth: int) -> tuple[list[int], list[float], list[float]]:
     return features, thresholds, [float(n.prediction()) for n in level]
 
 
-def fit(docs: DataFrame, most_docs: int = 3_000, rounds: int = 8, depth: int = 4, precision: float = 0.99) -> Redactor:
-    """Boost trees on ``examples`` of ``docs``, calibrate each kind's threshold and report how both do.
+#: Rows of like candidates that one task learns from.
+_LEARNT_A_TASK = 200_000
+
+
+def fit(docs: DataFrame, rounds: int = 8, depth: int = 4, precision: float = 0.99) -> Redactor:
+    """Boost trees on ``examples`` of all ``docs``, calibrate each kind's threshold and report how both do.
 
-    The number of documents learned from is bounded, so training does not grow with the corpus but for one pass that counts. Trees learn from folds
+    All documents are learned from. Candidates of equal features are one row that weighs as many as there are; so training
+    grows with the different ones. Trees learn from folds
     0 to 5. A kind's threshold is the lowest probability, 0.5 at least, at and above which candidates of folds 6 and 7 have ``precision``; a kind
     that never has it adds nothing. Folds 8 and 9 are for the report. Documents without strict spans give no trees.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = staged(examples(docs, most_docs).coalesce(2), "pii-examples")
-    learn = rows.where("fold < 6")
-    if learn.agg(F.count_distinct("label")).first()[0] < 2:
+    rows = staged(examples(docs), "pii-examples")
+    learn = rows.where("fold < 6").groupBy(*FEATURES, "label").agg(F.sum("n").cast("double").alias("n"))
+    some = learn.agg(F.count_distinct("label"), F.count(F.lit(1))).first()
+    if some[0] < 2:
         return Redactor([], depth, {})
-    x = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(learn).select("x", "label").coalesce(1)
-    java = GBTClassifier(labelCol="label", featuresCol="x", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=5, maxMemoryInMB=32).fit(x)._java_obj
+    # the same rows in the same order, so that reruns agree; splits lie between all values, not between those of a sample, up to a million rows
+    dealt = learn.repartition(1 + some[1] // _LEARNT_A_TASK, *FEATURES).sortWithinPartitions(*FEATURES, "label")
+    x = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(dealt).select("x", "label", "n")
+    java = GBTClassifier(labelCol="label", featuresCol="x", weightCol="n", maxIter=rounds, maxDepth=depth, maxBins=1024, stepSize=0.3, seed=5, maxMemoryInMB=32).fit(x)._java_obj
     made = Redactor([(float(w), *_full(t.rootNode(), depth)) for w, t in zip(java.treeWeights(), java.trees(), strict=True)], depth, {})
-    scored = rows.where("fold >= 6").select("fold", "kind", "label", F.expr(let("array({})".format(", ".join(FEATURES)), "_f", made.probability("_f"))).alias("p"))
+    scored = rows.where("fold >= 6").select("fold", "kind", "label", "n", F.expr(let("array({})".format(", ".join(FEATURES)), "_f", made.probability("_f"))).alias("p"))
+    scored = scored.groupBy((F.col("fold") < 8).alias("tuning"), "kind", "p").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("true"))
     down = Window.partitionBy("kind").orderBy(F.col("p").desc()).rangeBetween(Window.unboundedPreceding, 0)
-    good = scored.where("fold < 8").withColumn("precision", F.avg("label").over(down)).where((F.col("precision") >= precision) & (F.col("p") >= 0.5)).groupBy("kind").agg(F.min("p").alias("least"))
+    good = scored.where("tuning").withColumn("precision", F.sum("true").over(down) / F.sum("n").over(down)).where((F.col("precision") >= precision) & (F.col("p") >= 0.5)).groupBy("kind").agg(F.min("p").alias("least"))
     made.least = {int(r["kind"]): float(r["least"]) for r in good.collect()}
     taken = F.lit(False)
     for k, v in made.least.items():
         taken = taken | ((F.col("kind") == k) & (F.col("p") >= v))
-    per = scored.where("fold >= 8").groupBy("kind").agg(F.count_if(taken & (F.col("label") == 1)).alias("right"), F.count_if(taken).alias("taken"), F.count_if(F.col("label") == 1).alias("true"))
+    right, all_taken = F.sum(F.when(taken, F.col("true"))), F.sum(F.when(taken, F.col("n")))
+    per = scored.where("NOT tuning").groupBy("kind").agg(F.coalesce(right, F.lit(0.0)).alias("right"), F.coalesce(all_taken, F.lit(0)).alias("taken"), F.sum("true").cast("bigint").alias("true"))
     made.report = {KINDS[r["kind"]]: (r["right"] / r["taken"] if r["taken"] else 0.0, r["right"] / r["true"] if r["true"] else 0.0, r["true"]) for r in per.collect()}
     return made
 

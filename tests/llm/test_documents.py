@@ -333,6 +333,20 @@ def test_trees_do_well_on_documents_kept_out(redactor):
         assert n > 50 and precision >= 0.97 and recall >= 0.95
 
 
+def test_trees_learn_from_all_documents(spark):
+    """What 7,000 documents with an address each teach and report is not that of a part of them, and reruns agree."""
+    docs = spark.range(7_000).selectExpr("id AS doc_id", "concat('note ', hex(id), ' from ann', id, '@mail', id % 50, '.example.org, order ', 100000000000000 + id * 7919, ' sent at noon') AS text")
+    halves = [pii.examples(docs.where(f"doc_id % 2 = {i}")) for i in range(2)]
+    count = lambda df: {tuple(r)[:-1]: r["n"] for r in df.groupBy("fold", "kind", "label").agg(F.sum("n").alias("n")).collect()}
+    whole, parts = count(pii.examples(docs)), [count(h) for h in halves]
+    assert whole == {k: sum(p.get(k, 0) for p in parts) for k in whole}
+    # at least the address in its document, and put back as it stands and in a looser form
+    assert sum(n for (_, kind, label), n in whole.items() if kind == 0 and label == 1) >= 3 * 7_000
+    first, again = pii.fit(docs), pii.fit(docs.repartition(3))
+    assert first.report["email"][2] == sum(n for (fold, kind, label), n in whole.items() if fold >= 8 and kind == 0 and label == 1) > 3_000
+    assert (first.trees, first.least, first.report) == (again.trees, again.least, again.report)
+
+
 def test_added_spans_are_what_their_kind_is(spark, redactor):
     """On the shared documents: something is added, nothing that overlaps, and each has its kind's digits."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text RLIKE '[0-9@]'")
