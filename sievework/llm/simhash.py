@@ -9,11 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .minhash import SIMILARITY, WORDS, similar_groups
+from .minhash import SIMILARITY, WORDS, majority, similar_groups
 from .shared import Staged, components, staged, text_or_empty, workers_can_import
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _SEED = 42
 _RADIUS = 3
 _DENSE = 64
@@ -32,13 +31,7 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     k = min(words, len(tokens))
     spans = zip(starts[: len(starts) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
     hashes = np.array([xxh64_intdigest(joined[a:b], _SEED) for a, b in spans], np.uint64)
-    n = len(hashes)
-    lanes = hashes.view(np.uint8).reshape(n, 8)
-    if n < 2000:
-        ones = np.unpackbits(lanes, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    else:
-        ones = np.concatenate([np.bincount(lanes[:, i], minlength=256) @ _BITS for i in range(8)])
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return majority(hashes)
 
 
 def _fingerprints(words: int):
@@ -188,10 +181,11 @@ def drop_near(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARIT
     """``docs`` with one document of each group of near duplicates, all columns kept.
 
     Near is a Jaccard similarity of ``similarity`` or more of shingles of ``words`` words, see
-    ``minhash.similar_groups``; the 3 words and 3 bits of ``simhash_groups`` are the contract of op8 alone.
+    ``minhash.similar_groups``: the grid join proposes what differs in at most 3 bits, MinHash bands what lies
+    farther apart, and whole sets decide. The 3 words of ``simhash_groups`` are the contract of op8 alone.
     The smallest doc_id of the group stays. Of rows repeated with that id and text one stays.
     """
-    found = similar_groups(docs, words, similarity)
+    found = similar_groups(docs, words, similarity, near_links)
     mine = F.struct("doc_id", "salt")
     gone = staged(found.where(mine != F.col("lead")).select(mine.alias("__gone")), "gone")
     whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.struct(docs["doc_id"].cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty(docs["text"])).alias("salt")).alias("__key"))

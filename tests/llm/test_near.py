@@ -1,12 +1,16 @@
 """Near duplicates of the pipeline's stage: five words, a similarity of 0.8 or more."""
 
 import random
+import sys
 from itertools import combinations
 
 import brute
+from pyspark import cloudpickle
 
 from sievework.llm import minhash, simhash
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers have no tests folder
+
 
 def sets_of(text):
     words = brute.WORD.findall((text or "").translate(brute.LOWER))
@@ -63,6 +67,45 @@ def test_similarity_is_exact_at_its_edge(spark):
     assert kept == [1, 3, 4] and kept == sorted(set(leads(rows).values()))
 
 
+def without_bands(run):
+    def bare(batches):
+        import pyarrow as pa
+
+        for batch in run(batches):
+            empty = pa.array([[]] * batch.num_rows, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([empty if n == "keys" else batch.column(n) for n in batch.schema.names], batch.schema.names)
+
+    return bare
+
+
+def test_stage_joins_fingerprints_on_the_grid(spark, monkeypatch):
+    """Without a band in common, near fingerprints are proposed by the grid join, and sets decide."""
+    rng = random.Random(4)
+    rows = []
+    for _ in range(30):
+        base = [f"w{rng.randrange(9_000)}" for _ in range(600)]
+        rows += [(len(rows) + i, " ".join(edited(rng, base, i))) for i in range(3)]
+    want = leads(rows)
+    prints = {i: minhash.majority(minhash.shingles(t.encode())) for i, t in rows}
+    close = {i for i, _ in rows for j, _ in rows if i != j and want[i] == want[j] and (prints[i] ^ prints[j]).bit_count() <= 3}
+    assert len(close) > 40
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    made = minhash._sketches
+    monkeypatch.setattr(minhash, "_sketches", lambda words: without_bands(made(words)))
+    got = {r["doc_id"]: r["lead"]["doc_id"] for r in minhash.similar_groups(df, near=simhash.near_links).collect()}
+    parent = {i: i for i in prints}
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for a, b in combinations(sorted(prints), 2):
+        if want[a] == want[b] and (prints[a] ^ prints[b]).bit_count() <= 3 and 5 * len(sets_of(rows[a][1]) & sets_of(rows[b][1])) >= 4 * len(sets_of(rows[a][1]) | sets_of(rows[b][1])):
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    assert got == {i: find(i) for i in prints} and len(set(got.values())) < 75
+    assert all(r["lead"]["doc_id"] == r["doc_id"] for r in minhash.similar_groups(df).collect())  # neither bands nor the grid
+
+
 def test_links_connect_a_crowded_band():
     import numpy as np
 
