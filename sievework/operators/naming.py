@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,27 +19,28 @@ def taken_names(symbols: DataFrame, current: DataFrame) -> DataFrame:
     return used.union(current.where("name IS NOT NULL AND name <> ''").select("binary_id", "name")).distinct()
 
 
-def unique_name(proposal: str | None, taken: set[str]) -> str | None:
-    """The proposal, or it with the first free number from 2 to 99; None if it can't be a name."""
-    return _next_name(proposal, taken, 1)[0]
+def unique_name(proposal: str | None, taken: set[str], last: int | None = 99) -> str | None:
+    """The proposal, or it with the first free number from 2 to ``last``, None being no end; None if it can't be a name."""
+    return _next_name(proposal, taken, 1, last)[0]
 
 
-def _next_name(proposal: str | None, taken: set[str], start: int) -> tuple[str | None, int]:
-    """The first free name from number ``start`` on, 1 being the proposal itself, and that number; 100 if there is none."""
-    if start > 99 or not proposal or not re.match(IDENTIFIER, proposal) or proposal in RESERVED or re.match(SYNTHETIC, proposal):
-        return None, 100
-    for i in range(start, 100):
+def _next_name(proposal: str | None, taken: set[str], start: int, last: int | None) -> tuple[str | None, int]:
+    """The first free name from number ``start`` to ``last``, 1 being the proposal itself, and that number; a later one if there is none."""
+    if not proposal or not re.match(IDENTIFIER, proposal) or proposal in RESERVED or re.match(SYNTHETIC, proposal):
+        return None, start
+    for i in count(start) if last is None else range(start, last + 1):
         name = proposal if i == 1 else f"{proposal}_{i}"
         if name not in taken:
             return name, i
-    return None, 100
+    return None, last + 1
 
 
-def assign(proposals: DataFrame, taken: DataFrame) -> DataFrame:
+def assign(proposals: DataFrame, taken: DataFrame, last: int | None = 99) -> DataFrame:
     """``(binary_id, old, new)`` for ``proposals(binary_id, old, proposal, pos)``; rejected ones have no row.
 
     Each choice depends on those before it, so a binary's proposals are folded in order of ``pos`` in one
-    task; they are at most as many as its functions.
+    task; they are at most as many as its functions. Numbers end at ``last``, or nowhere if it is None: then
+    only what can't be a name is rejected.
     """
     both = proposals.select("binary_id", "old", "proposal", "pos").unionByName(taken.select("binary_id", F.lit(None).cast("string").alias("old"), F.col("name").alias("proposal"), F.lit(-1).alias("pos")))
 
@@ -47,7 +49,7 @@ def assign(proposals: DataFrame, taken: DataFrame) -> DataFrame:
         rows, tried = [], {}
         for r in pdf[pdf["pos"] >= 0].sort_values(["pos", "old"]).itertuples():
             # names are never freed, so what was taken for a proposal before is taken now
-            new, tried[r.proposal] = _next_name(r.proposal, used, tried.get(r.proposal, 1))
+            new, tried[r.proposal] = _next_name(r.proposal, used, tried.get(r.proposal, 1), last)
             if new:
                 used.add(new)
                 rows.append((r.binary_id, r.old, new))

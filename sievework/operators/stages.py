@@ -160,7 +160,7 @@ def name_all(files: DataFrame, edges: DataFrame, symbols: DataFrame, make: Calla
     """Name every placeholder, callees before callers, and rewrite all files; returns ``(files, renames)``.
 
     ``files(binary_id, name, code)`` by stem. Proposals of a level are asked with the names found below it; they
-    are made unique in order of (level, stem), so that reruns agree.
+    are made unique in order of (level, stem), so that reruns agree, with as many numbers as it takes.
     """
     current = staged(files.join(symbols.select("binary_id", F.col("original").alias("name"), "new_name"), graph.KEY, "left").select("binary_id", F.col("name").alias("stem"), F.coalesce(F.when(F.col("new_name") != "", F.col("new_name")), text.strip_address(F.col("name"))).alias("current"), "code"), "current")
     todo = current.where(text.is_synthetic(F.col("current"))).select("binary_id", F.col("stem").alias("name"))
@@ -192,6 +192,6 @@ def name_all(files: DataFrame, edges: DataFrame, symbols: DataFrame, make: Calla
         got = replies.mapInPandas(propose, "binary_id string, old string, reply string, stem string").withColumn("proposal", text.proposal_of_reply(F.col("reply")))
         got = got.withColumn("pos", F.row_number().over(Window.partitionBy("binary_id").orderBy("stem"))).where("proposal IS NOT NULL")
         used = naming.taken_names(symbols, current.select("binary_id", F.col("current").alias("name"))).union(renames.select("binary_id", "new"))
-        renames = staged(renames.union(naming.assign(got, used)), "renames")
+        renames = staged(renames.union(naming.assign(got, used, last=None)), "renames")
     out = naming.apply(current.select("binary_id", F.col("stem").alias("name"), "code"), renames)
     return out, renames

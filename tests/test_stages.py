@@ -95,6 +95,22 @@ def test_naming_goes_leaves_first(spark):
     assert all("FUN_" not in r["code"] for r in out.collect())
 
 
+def test_naming_leaves_no_function_out(spark):
+    """However many proposals are the same, each placeholder gets a name: numbers go on past 99."""
+    from sievework.operators import naming
+
+    n = 250
+    stems = [f"FUN_{i:06x}" for i in range(n)]
+    files = staged(spark.createDataFrame([("b", s, BODY.format(s, "printf")) for s in stems] + [("b", "taken", "int taken() { return 1; }")], FUNCTIONS), "files")
+    symbols = spark.createDataFrame([("b", "taken", "reads_input_120", "")], "binary_id string, original string, new_name string, signature string")
+    out, renames = stages.name_all(files, staged(callgraph.build(files), "calls"), symbols, named)
+    free = ["reads_input"] + [f"reads_input_{i}" for i in range(2, n + 2) if i != 120]
+    assert {r["old"]: r["new"] for r in renames.collect()} == dict(zip(stems, free, strict=True))
+    assert all("FUN_" not in r["code"] for r in out.collect())
+    assert naming.unique_name("f", {"f", *(f"f_{i}" for i in range(2, 500))}, last=None) == "f_500"
+    assert naming.unique_name("for", set(), last=None) is None
+
+
 def test_renames_cost_a_text_its_own_words(spark):
     """Many renames and texts: no text meets a rename that it has no word of; equal and null texts, unknown binaries."""
     import time
